@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmatch.llm.common import power_of_two_at_least, shuffle_width
@@ -114,32 +114,39 @@ def _find_duplicates(owner_bits: int, slot_bits: int):
     return find
 
 
-def suspect_test(docs: DataFrame, text: Column, max_filter_bits: int = MAX_FILTER_BITS):
-    """A function from a hash column to whether the row may have a copy."""
-    spark = docs.sparkSession
+def suspect_test(hashes: DataFrame, rows: int, max_filter_bits: int = MAX_FILTER_BITS, slots_per_row: int = SLOTS_PER_ROW):
+    """Slot bits and the broadcast bitmap of hashes (one long column) that repeat.
+
+    ``rows`` is about how many hashes there are; it only sets the bitmap's size.
+    """
+    spark = hashes.sparkSession
     owners = power_of_two_at_least(shuffle_width(spark))
     owner_bits = owners.bit_length() - 1
-    slot_bits = min(max_filter_bits, (SLOTS_PER_ROW * max(1, docs.count())).bit_length())
+    slot_bits = min(max_filter_bits, (slots_per_row * max(1, rows)).bit_length())
     slot_bits = max(slot_bits, owner_bits + 3)
-    lists = docs.select(F.xxhash64(text).alias("hash")).mapInArrow(_encode_partition(owner_bits), _EXCHANGE)
+    lists = hashes.mapInArrow(_encode_partition(owner_bits), _EXCHANGE)
     answers = lists.groupBy("owner").applyInPandas(_find_duplicates(owner_bits, slot_bits), "owner long, bits binary")
     bitmap = np.zeros((owners, (1 << (slot_bits - owner_bits)) // 8), np.uint8)
     for row in answers.toLocalIterator():
         bitmap[row.owner] = np.frombuffer(row.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(bitmap.reshape(-1))
+    return slot_bits, spark.sparkContext.broadcast(bitmap.reshape(-1))
 
-    @F.pandas_udf("boolean")
-    def may_repeat(hashes: pd.Series) -> pd.Series:
-        slots = (hashes.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - slot_bits)).astype(np.int64)
-        return pd.Series((shared.value[slots >> 3] >> (7 - (slots & 7)) & 1).astype(bool))
 
-    return may_repeat
+def in_bitmap(hashes: np.ndarray, slot_bits: int, bitmap: np.ndarray) -> np.ndarray:
+    """Which of some signed 64-bit hashes fall on a set slot."""
+    slots = (hashes.view(np.uint64) >> np.uint64(64 - slot_bits)).astype(np.int64)
+    return (bitmap[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, max_filter_bits: int) -> tuple[DataFrame, DataFrame]:
     """The rows with ``__sha`` and ``__suspect``, and the verified groups."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    may_repeat = suspect_test(docs, text, max_filter_bits)
+    slot_bits, shared = suspect_test(docs.select(F.xxhash64(text).alias("hash")), docs.count(), max_filter_bits)
+
+    @F.pandas_udf("boolean")
+    def may_repeat(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(hashes.to_numpy(np.int64), slot_bits, shared.value))
+
     marked = docs.withColumns({"__sha": F.sha2(text, 256), "__suspect": may_repeat(F.xxhash64(text))})
     suspects = marked.filter("__suspect").select("__sha", text.alias("__text"), F.col(f"`{id_col}`").alias("__id"))
     by_bytes = suspects.groupBy("__sha", "__text").agg(F.count(F.lit(1)).alias("__n"), F.max("__id").alias("__keep"))

@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm import bpe, exact_dedup, html_text, langid, mixing, simhash, topk
+from quillmatch.llm import boilerplate, bpe, exact_dedup, html_text, langid, mixing, pii, simhash, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.clean_pages(_table(spark, sf_dir, "pages"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = substring_dedup.dedup_substrings(docs)
+
+    def covered(spans: str) -> Column:
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+
+    def written(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+
+    return done.select(
+        "doc_id",
+        (F.size("__repeated") > 0).alias("repeated"),
+        covered("__repeated").alias("repeated_chars"),
+        covered("__removed").alias("removed_chars"),
+        written("__repeated").alias("repeated_spans"),
+        written("__removed").alias("removed_spans"),
+        F.col("__text").alias("text"),
+    )
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", html_text.extract(F.col("html")).alias("text"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -32,6 +57,22 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+
+    def written(spans: Column) -> Column:
+        order = F.array(*[F.lit(k) for k in pii.KINDS])
+        placed = F.array_sort(F.transform(spans, lambda x: F.struct(F.array_position(order, x["kind"]).alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+        return F.array_join(F.transform(placed, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
+    every = written(F.concat("base", "added")).alias("spans")
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), every)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -55,9 +96,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_html_text": op3_html_text,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe": op5_bpe,
+    "op6_pii": op6_pii,
     "op7_mix_sources": op7_mix_sources,
     "op8_exact_topk": op8_exact_topk,
     "op9_simhash": op9_simhash,
@@ -110,4 +154,21 @@ ORACLE_SQL = {
         r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op1_line_dedup": rf"""
+        WITH a AS (
+            SELECT page_id, lower(coalesce(regexp_extract(url, '{boilerplate.HOST}', 1), '')) AS host,
+                   regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{boilerplate.UNSEEN}', '', 'g'), '{boilerplate.BREAKS}', chr(10), 'g'), '{boilerplate.MARKUP}', '', 'g') AS t
+            FROM pages),
+        b AS (
+            SELECT page_id, host, list_filter(list_transform(string_split(regexp_replace(
+                   replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
+                   '[ \t\x0B\f\r]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
+            FROM a),
+        n AS (SELECT host, count(*) AS pages FROM b GROUP BY host),
+        e AS (SELECT host, unnest(list_distinct(lines)) AS line FROM b),
+        c AS (SELECT e.host, line FROM e JOIN n USING (host) GROUP BY e.host, line, pages HAVING count(*) >= {boilerplate.MIN_PAGES} AND count(*) > {boilerplate.MAX_RATIO}::DOUBLE * pages),
+        s AS (SELECT host, list(line) AS common FROM c GROUP BY host),
+        k AS (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(common, x), false)) AS kept FROM b LEFT JOIN s USING (host))
+        SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, coalesce(array_to_string(kept, chr(10)), '') AS text FROM k
+    """,
 }
