@@ -9,9 +9,10 @@ What the automaton accepts is then exactly what the merges produce, so a word
 has one path whose arc labels spell it: encoding follows it through the
 transition table, decoding emits the labels.
 
-Only what a gadget changes is stored: the removed arc with the merge's rank,
-and for a copied state its origin and rank.  ``arc`` answers from these and
-keeps the table cells that texts have used.
+A state's row of the transition table is stored by its gaps: the removed arcs
+and the ranks of the merges that removed them.  An arc uv added by a later merge
+is a gap too where the u-arc was one by then, so ``arc`` follows the left parts
+of a token, at most seven in a 49k vocabulary.
 
 Words are split and normalised as the tokenizer file says.  Defined cases: a
 null text is empty and has no tokens; strings of special tokens in a text are
@@ -34,10 +35,8 @@ from pyspark.sql import types as T
 #: Marks a word's end inside a token's spelling; no byte symbol looks like it.
 END = "\n"
 #: Words whose encodings a worker keeps; the store is emptied when full.
-KEPT_WORDS = 400_000
-KEPT_CELLS = 4_000_000
+KEPT_WORDS = 1_000_000
 LONGEST_KEPT_WORD = 64
-_STATE_BITS = 20
 
 #: The file's split for texts whose letters every version of Unicode agrees on;
 #: texts with other characters are split by the library itself.
@@ -67,10 +66,8 @@ class Automaton:
         for text, i in [*vocab.items(), *special.items()]:
             self.labels[i] = text
         self.left, self.rank = [-1] * size, [-1] * size
-        self.parent, self.since = [-1], [-1]  # of each state
-        self.removed: dict[int, int] = {}
+        self.gaps: list[dict[int, int]] = [{}]  # of each state: removed arcs and when
         self.target = [0] * size
-        self.cells: dict[int, bool] = {}
         base = [s for s in self.symbols if s in vocab] + [s + suffix for s in self.symbols if s + suffix in vocab]
         alive = {vocab[s] for s in base}
         self._users = [len(alive) + 1]  # arcs that lead to a state; the start counts as one
@@ -78,67 +75,65 @@ class Automaton:
             u, v = merge if isinstance(merge, list | tuple) else merge.split(" ")
             self._gadget(rank, vocab[u], vocab[v], vocab[u + v], alive)
         self.ids = {self._spelling(self.labels[i]): i for i in alive}
-        self.longest = max(map(len, self.ids))
-        self.cells = {}
+        self.reach: dict[str, int] = {}  # longest label with given first two symbols
+        for text in self.ids:
+            self.reach[text[:2]] = max(self.reach.get(text[:2], 1), len(text))
         self.words: dict[str, bytes] = {}
 
     def _spelling(self, label: str) -> str:
         return label[: -len(self.suffix)] + END if label.endswith(self.suffix) else label
 
     def _gadget(self, rank: int, u: int, v: int, w: int, alive: set[int]) -> None:
-        if u not in alive or v not in alive or not self._has_arc(self.target[u], v):
+        if u not in alive or v not in alive or not self.arc(self.target[u], v):
             return  # the two are never neighbours when this merge's turn comes
         self.target[w] = self.target[v]
         self._users[self.target[v]] += 1
         state = self.target[u]
         if self._users[state] > 1:
             self._users[state] -= 1
-            self.parent.append(state)
-            self.since.append(rank)
             self._users.append(1)
-            self.target[u] = state = len(self.parent) - 1
-        self.removed[state << _STATE_BITS | v] = rank
+            self.gaps.append(dict(self.gaps[state]))
+            self.target[u] = state = len(self.gaps) - 1
+        self.gaps[state][v] = rank
         self.left[w], self.rank[w] = u, rank
         alive.add(w)
 
-    def _has_arc(self, state: int, token: int) -> bool:
-        before = 1 << 60
-        while True:
-            at, limit = state, before
-            while at >= 0:
-                rank = self.removed.get(at << _STATE_BITS | token)
-                if rank is not None and rank < limit:
-                    return False
-                limit = min(limit, self.since[at]) if self.parent[at] >= 0 else limit
-                at = self.parent[at]
-            if self.rank[token] < 0:
-                return True
-            before, token = self.rank[token] + 1, self.left[token]
-
     def arc(self, state: int, token: int) -> bool:
         """Whether ``state`` has an arc ``token``; its target is ``target[token]``."""
-        key = state << _STATE_BITS | token
-        found = self.cells.get(key)
-        if found is None:
-            if len(self.cells) >= KEPT_CELLS:
-                self.cells.clear()
-            found = self.cells[key] = self._has_arc(state, token)
-        return found
+        gaps, ranks, before = self.gaps[state], self.rank, 1 << 60
+        while True:
+            if gaps.get(token, before) < before:
+                return False
+            rank = ranks[token]
+            if rank < 0:
+                return True
+            before, token = rank + 1, self.left[token]
 
     def encode_symbols(self, word: str) -> list[int]:
-        """Ids of one word given as byte symbols: the labels of its only path."""
+        """Ids of one word given as byte symbols: the labels of its only path.
+
+        A prefix of the word has one path too, so a position is reached by one
+        arc at most and is entered once, longest labels first.
+        """
         spelled, n = word + END, len(word) + 1
-        states, came = [-1] * (n + 1), [None] * (n + 1)
-        states[0] = 0
-        ids, arc, target = self.ids, self.arc, self.target
-        for i in range(n):
-            state = states[i]
-            if state < 0:
-                continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
+        ids, arc, target, longest = self.ids, self.arc, self.target, self.reach
+        came: dict[int, tuple[int, int]] = {}
+        todo = [(0, 0)]
+        while todo:
+            i, state = todo.pop()
+            if i == n:
+                break
+            todo_here = []
+            for j in range(min(n, i + longest.get(spelled[i : i + 2], 1)), i, -1):
                 token = ids.get(spelled[i:j])
-                if token is not None and states[j] < 0 and arc(state, token):
-                    states[j], came[j] = target[token], (i, token)
+                if token is not None and j not in came and arc(state, token):
+                    came[j] = (i, token)
+                    todo_here.append((j, target[token]))
+                    if j == n:
+                        break
+            todo += reversed(todo_here)
+            if n in came:
+                break
         path, at = [], n
         while at:
             at, token = came[at]
