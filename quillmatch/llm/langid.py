@@ -148,16 +148,18 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
 def train(labelled: DataFrame, text: Column, lang: Column, key: Column, rows_per_language: int = ROWS_PER_LANGUAGE, longest: int = LONGEST_TRAINING_TEXT, landmarks: int = LANDMARKS) -> Model:
     """Fit on the rows of each language whose hash of ``key`` is smallest.
 
-    Rows per language are counted first, so that only about twice as many
-    rows as needed reach the ranking, however large a language is.
+    Rows per language are counted first (a number for each language comes to
+    the driver, as the model has a column for each), so only about twice as
+    many rows as needed leave the scan, however large a language is.
     """
     rows = labelled.select(text.alias("text"), lang.alias("lang"), F.xxhash64(F.lit("langid"), key).alias("at"))
     rows = rows.filter("lang is not null and text is not null and text <> ''").filter(F.length("text") <= longest)
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * rows_per_language + 50) / F.col("n"))
-    near = rows.join(counts, "lang").filter((F.shiftrightunsigned("at", 11) / float(1 << 53)) < share)
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return fit([])
+    shares = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, (2.0 * rows_per_language + 50) / n))])
+    near = rows.filter((F.shiftrightunsigned("at", 11) / float(1 << 53)) < F.element_at(shares, F.col("lang")))
     nearest = Window.partitionBy("lang").orderBy("at", F.xxhash64("text"))
-    # Places first, texts last: what is sorted are the few rows that are near.
     chosen = near.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= rows_per_language)
     got = sorted((r["lang"], r["nth"], r["text"]) for r in chosen.select("lang", "nth", "text").collect())
     return fit([(text, lang) for lang, _, text in got], landmarks)
@@ -188,6 +190,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
-    """The rows whose language is known, with their own columns only."""
+    """The rows whose language is known, with their own columns only.
+
+    Where no language could be learned, rows with a letter are kept.
+    """
+    if not model.languages:
+        return docs.filter(F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)))
     found = identify(docs, model, text_col, "__lang", "__score")
     return found.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least_score)).select([F.col(f"`{c}`") for c in docs.columns])
