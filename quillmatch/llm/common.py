@@ -48,3 +48,13 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def power_of_two_at_least(n: int) -> int:
     return 1 << max(0, int(n) - 1).bit_length()
+
+
+def positional(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns ``__c0``, ``__c1``, ... and the new names of ``columns``.
+
+    Operators that pass rows through work under these names, so no column of
+    theirs can clash with one of the table's; ``toDF`` gives the old names back.
+    """
+    names = [f"__c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), [names[docs.columns.index(c)] for c in columns]

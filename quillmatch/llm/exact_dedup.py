@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import power_of_two_at_least, shuffle_width
+from quillmatch.llm.common import positional, power_of_two_at_least, shuffle_width
 
 #: Largest size of all duplicate bitmaps together: 2**30 bits are 128 MB.
 MAX_FILTER_BITS = 30
@@ -185,8 +185,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    marked, groups = _marked(docs, id_col, text_col, max_filter_bits)
-    stays = marked.filter("__suspect").join(groups.withColumnRenamed("__sha", "__group"), (F.col("__sha") == F.col("__group")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__keep")))
+    rows, (doc_id, text) = positional(docs, id_col, text_col)
+    marked, groups = _marked(rows, doc_id, text, max_filter_bits)
+    groups = groups.withColumnRenamed("__sha", "__group")
+    stays = marked.filter("__suspect").join(groups, (F.col("__sha") == F.col("__group")) & F.col(doc_id).eqNullSafe(F.col("__keep")))
     stays = stays.dropDuplicates(["__sha"])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return marked.filter("not __suspect").select(columns).unionByName(stays.select(columns))
+    return marked.filter("not __suspect").select(rows.columns).unionByName(stays.select(rows.columns)).toDF(*docs.columns)

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmatch.llm.common import positional
+
 ROWS_PER_LANGUAGE = 400
 LONGEST_TRAINING_TEXT = 20_000
 LANDMARKS = 160
@@ -185,8 +187,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: st
     # The types are given as objects: annotations are strings in this module.
     scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     scored = F.pandas_udf(scored, "lang string, score double")
-    both = docs.withColumn("__found", scored(F.col(f"`{text_col}`")))
-    return both.withColumns({lang_col: F.col("__found.lang"), score_col: F.col("__found.score")}).drop("__found")
+    rows, (text,) = positional(docs, text_col)
+    both = rows.withColumn("__found", scored(F.col(text)))
+    return both.select(*rows.columns, "__found.lang", "__found.score").toDF(*docs.columns, lang_col, score_col)
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
@@ -196,5 +199,6 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", least_score:
     """
     if not model.languages:
         return docs.filter(F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)))
-    found = identify(docs, model, text_col, "__lang", "__score")
-    return found.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least_score)).select([F.col(f"`{c}`") for c in docs.columns])
+    rows, (text,) = positional(docs, text_col)
+    found = identify(rows, model, text, "__lang", "__score")
+    return found.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least_score)).select(rows.columns).toDF(*docs.columns)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import WORD_PATTERN, pinned
+from quillmatch.llm.common import WORD_PATTERN, pinned, positional
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET_SHARE = 1.5
@@ -151,16 +151,17 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     documents; only rows of the cut cells are looked up one by one.
     """
     schedule = _schedule(_sized(docs, id_col, text_col, source_col), weights, budget_share, max_copies, seed)
-    doc_id, source = F.col(f"`{id_col}`"), F.col(f"`{source_col}`")
-    rows = docs.withColumn("__size", word_count(F.col(f"`{text_col}`")))
+    own, (id_name, text, source_name) = positional(docs, id_col, text_col, source_col)
+    doc_id, source = F.col(id_name), F.col(source_name)
+    rows = own.withColumn("__size", word_count(F.col(text)))
     plain, cut = _split(_ranked(rows, schedule, doc_id, source, seed))
     fits = _cut_cells(cut.select(doc_id.alias("doc_id"), source.alias("source"), F.col("__size").alias("size"), "__words", "__target", "__whole", "__q", "__rest", "__before"))
     fits = fits.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__m", "__fits")
     met = cut.join(fits, doc_id.eqNullSafe(F.col("__i")) & source.eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")))
     alone = met.filter((F.col("__fits") == 0) | (F.col("__fits") == F.col("__m"))).withColumn("__copies", F.col("__whole") + (F.col("__fits") > 0).cast("long"))
-    among = Window.partitionBy("__i", "__s", "__z").orderBy(F.xxhash64(F.col(f"`{text_col}`")))
+    among = Window.partitionBy("__i", "__s", "__z").orderBy(F.xxhash64(F.col(text)))
     shared = met.filter((F.col("__fits") > 0) & (F.col("__fits") < F.col("__m"))).withColumn("__at", F.row_number().over(among))
     shared = shared.withColumn("__copies", F.col("__whole") + (F.col("__at") <= F.col("__fits")).cast("long"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    every = [x.filter("__copies > 0").select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")) for x in (plain, alone, shared)]
-    return every[0].unionByName(every[1]).unionByName(every[2]).select(columns)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")
+    every = [x.filter("__copies > 0").select(*own.columns, copies) for x in (plain, alone, shared)]
+    return every[0].unionByName(every[1]).unionByName(every[2]).select(own.columns).toDF(*docs.columns)

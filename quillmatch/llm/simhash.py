@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import pinned, shuffle_width
+from quillmatch.llm.common import pinned, positional, shuffle_width
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
@@ -254,15 +254,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows of groups of one are told apart by an anti join against the grouped
     rows' (id, text hash), which Spark broadcasts only if it is small.
     """
-    doc_id, mark = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
-    prints = pinned(docs.select(doc_id.alias("doc_id"), mark.alias("mark"), fingerprint_of(F.col(f"`{text_col}`")).alias("fp")))
+    rows, (id_name, text) = positional(docs, id_col, text_col)
+    doc_id, mark = F.col(id_name), F.xxhash64(F.col(text))
+    prints = pinned(rows.select(doc_id.alias("doc_id"), mark.alias("mark"), fingerprint_of(F.col(text)).alias("fp")))
     grouped = prints.join(_groups(prints.select("doc_id", "fp"), max_bits).filter("group_rows > 1"), "fp")
     grouped = pinned(grouped.select(F.col("doc_id").alias("__i"), F.col("mark").alias("__m"), F.col("root").alias("__r")))
     first = grouped.groupBy("__r").agg(F.min(F.struct(F.col("__i").isNull(), "__i", "__m")).alias("__f"))
     first = first.select("__r", F.col("__f.__i").alias("__i"), F.col("__f.__m").alias("__m"))
-    rows = docs.withColumn("__mark", mark)
+    marked = rows.withColumn("__mark", mark)
     same = doc_id.eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    alone = rows.join(grouped.select("__i", "__m").distinct(), same, "left_anti").select(columns)
-    chosen = rows.join(first, same).dropDuplicates(["__r"]).select(columns)
-    return alone.unionByName(chosen)
+    alone = marked.join(grouped.select("__i", "__m").distinct(), same, "left_anti").select(rows.columns)
+    chosen = marked.join(first, same).dropDuplicates(["__r"]).select(rows.columns)
+    return alone.unionByName(chosen).toDF(*docs.columns)

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmatch.llm.common import positional
 from quillmatch.llm.exact_dedup import MAX_FILTER_BITS, in_bitmap, suspect_test
 
 WINDOW = 16
@@ -184,17 +185,18 @@ def _apply(min_span: int):
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_span: int = MIN_SPAN, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """``docs`` with ``__repeated`` and ``__removed`` spans and ``__text``, the text without the latter."""
-    text = F.col(f"`{text_col}`")
-    rows = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    hashes = docs.select(text).mapInArrow(lambda batches: _gathered()(_hashes(batches)), "hash long")
-    slot_bits, shared = suspect_test(hashes, rows // MEAN_CHUNK + docs.count(), max_filter_bits, 8)
-    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("mark"), text)
+    own, (id_name, text_name) = positional(docs, id_col, text_col)
+    text = F.col(text_name)
+    size = own.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    hashes = own.select(text).mapInArrow(lambda batches: _gathered()(_hashes(batches)), "hash long")
+    slot_bits, shared = suspect_test(hashes, size // MEAN_CHUNK + own.count(), max_filter_bits, 8)
+    slim = own.select(F.col(id_name).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text)
     chunks = slim.mapInArrow(_suspects(slot_bits, shared), "id long, mark long, at long, size long, d1 long, d2 long")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "mark", "at")
     common = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")).filter("n > 1").drop("n")
     met = chunks.join(common, ["d1", "d2"]).withColumn("first", F.col("head") == place)
     marks = met.groupBy("id", "mark").agg(F.collect_set(F.struct("at", "size", "first")).alias("__marks"))
     marks = marks.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__marks")
-    both = docs.join(marks, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left")
+    both = own.join(marks, F.col(id_name).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left")
     both = both.withColumn("__done", _apply(min_span)(text, F.col("__marks")))
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__done.repeated").alias("__repeated"), F.col("__done.removed").alias("__removed"), F.col("__done.text").alias("__text"))
+    return both.select(*own.columns, "__done.repeated", "__done.removed", "__done.text").toDF(*docs.columns, "__repeated", "__removed", "__text")

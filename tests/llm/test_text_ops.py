@@ -1,0 +1,179 @@
+"""HTML, BPE, PII, language ID and line dedup."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillmatch.llm import boilerplate, bpe, html_text, langid, pii
+from quillmatch.llm.queries import word_bpe_path
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p>";</script></head><body class="has-sidebar">
+<div class="cookie-notice">We use cookies. Accept them all now please, it is a long notice about nothing at all.</div>
+<header><h2>Site</h2></header><nav><ul><li><a href="/">Home</a></li><li><a href="/x">More</a></li></ul></nav>
+%s
+<aside>aside text</aside><form><p>form text</p><input></form><footer>&copy; foot</footer></body></html>"""
+BODY = "<h1>Title &amp; more</h1><p>Para  one\nis long enough &#233; to count.<p>Para <b>two</b> with <a href='x>y'>link</a> in it.<ul><li>item a<li>item b</ul>"
+TEXT = "Title & more\nPara one is long enough é to count.\nPara two with link in it.\nitem a\nitem b"
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<div id='content'>%s</div>", "<main><div>%s</div><div class='comments'><p>I think this comment goes on and on, longer than the text.</p></div></main>"])
+def test_main_text(wrap):
+    assert html_text.main_text(PAGE % (wrap % BODY)) == TEXT
+
+
+@pytest.mark.parametrize("html, text", [(None, ""), ("", ""), (" \n", ""), ("plain &lt; text", "plain < text"), ("<p>a<p>b <!-- x --> c", "a\nb c"), ("<b", ""), ("<p>x<br>y</p>", "x y")])
+def test_odd_pages(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    assert html_text.main_text("<div>" * 20_000 + "deep") == "deep"
+    for html in ('<a "' * 20_000, "<" * 50_000, "<b>x" * 10_000, "<p>x</b>" * 10_000, "<script>" * 5_000):
+        html_text.main_text(html)
+
+
+def test_extract_column(spark):
+    df = spark.createDataFrame([(1, PAGE % f"<article>{BODY}</article>"), (2, None)], "page_id int, html string")
+    assert [r.t for r in df.orderBy("page_id").select(html_text.extract(F.col("html")).alias("t")).collect()] == [TEXT, ""]
+
+
+def strings(rng, n):
+    pools = ["abcdeinth", "abcdefgh XYZ", "aß éÀ'st", "0123 a!", "".join(map(chr, range(32, 127)))]
+    for _ in range(n):
+        pool = rng.choice(pools)
+        yield "".join(rng.choice(pool) for _ in range(rng.randrange(60)))
+
+
+def test_bpe_equals_the_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(word_bpe_path())
+    rng = random.Random(1)
+    texts = list(strings(rng, 400)) + ["", "a<|endoftext|>B <|startoftext|>", "banana " * 300, "x" * 5000, "'S it's I'LL", "ΑΣ İ ǅ ﬁ ①² ½ é ́x 你好 \U0001f600🏽", "a\x85b\x1cc d", "𑌫\U00018ec2𛰮"]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0x10000, 0x1FFFF)])) for _ in range(30)) for _ in range(200)]
+    df = spark.createDataFrame([*enumerate(texts), (9999, None)], "doc_id int, text string")
+    coded = bpe.encode(df, word_bpe_path(), decoded_col="decoded")
+    for r in coded.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert list(r.ids) == ids
+        assert r.decoded == library.decode(ids, skip_special_tokens=False)
+    again = bpe.decode(coded.select("ids"), word_bpe_path()).select("decoded")
+    assert sorted(r.decoded for r in again.collect()) == sorted(r.decoded for r in coded.collect())
+
+
+def merged(symbols, merges):
+    """Merges in rank order, each from the left: the definition itself."""
+    for u, v in merges:
+        out = []
+        for s in symbols:
+            if out and out[-1] == u and s == v:
+                out[-1] = u + v
+            else:
+                out.append(s)
+        symbols = out
+    return symbols
+
+
+def test_automaton_against_merging_by_hand():
+    rng = random.Random(6)
+    symbols = ["a", "b", "c"]
+    for _ in range(12):
+        vocab = {s: i for i, s in enumerate([*symbols, *(s + "</w>" for s in symbols)])}
+        merges = []
+        while len(merges) < 14:
+            u, v = rng.choice(list(vocab)), rng.choice(list(vocab))
+            if not u.endswith("</w>") and u + v not in vocab and len(u + v) < 12:
+                merges.append((u, v))
+                vocab[u + v] = len(vocab)
+        automaton = bpe.Automaton(vocab, merges, "</w>", {})
+        for _ in range(200):
+            word = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))
+            assert [automaton.labels[i] for i in automaton.encode_symbols(word)] == merged([*word[:-1], word[-1] + "</w>"], merges)
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_base(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 13 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(3)
+    for _ in range(20_000):
+        pool = rng.choice(["aA@.@.-a1", "0123456789. -", "+1234567890 ().-", "01.2552.56", "4111 -é"])
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(50)))
+        assert pii.base_spans(text) == plain_base(text)
+    for text in ("1" * 50_000, "1." * 30_000, "a" * 50_000 + "@", "a@" * 30_000, "+1" + " " * 50_000):
+        pii.loose_spans(text, pii.base_spans(text))
+
+
+def test_bootstrap_finds_cued_values_and_leaves_others(spark):
+    rng = random.Random(4)
+    rows = [(i, f"words here tel: +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} and the end {i}") for i in range(30)]
+    rows += [(100, "new tel: 415-555-0199 here"), (101, "on 2024-10-11 the 415-555-0100 end"), (102, "again 415-555-0199 ."), (103, None), (104, ""), (104, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("value", F.lit("clash"))
+    got = pii.find(df).collect()
+    assert len(got) == len(rows)
+    added = {r.doc_id: [(s.kind, dict(rows)[r.doc_id][s.start : s.end]) for s in r.added] for r in got}
+    assert added[100] == [("phone", "415-555-0199")] and added[102] == [("phone", "415-555-0199")]
+    assert not any(added[d] for d in added if d not in (100, 102))
+    assert all([(s.kind, s.start, s.end) for s in r.base] == plain_base(dict(rows)[r.doc_id] or "") for r in got)
+    assert pii.find(df.limit(0)).count() == 0
+
+
+def sentence(rng, lang, n=40):
+    return " ".join(rng.choice({"xx": "lorem ipsum dolor amet sit", "yy": "größe straße über jahr zeit", "zz": "niño año señor más allá"}[lang].split()) for _ in range(n))
+
+
+def test_language_id(spark):
+    rng = random.Random(7)
+    rows = [(i, sentence(rng, lang), lang) for i in range(120) for lang in [rng.choice(["xx", "yy", "zz"])]]
+    rows += [(200, None, "xx"), (201, "", "yy"), (202, "123 !!", "xx"), (203, "straße über", None), (204, "niño " * 40_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("__found", F.lit(1))
+    model = langid.train(df, F.col("text"), F.col("lang"), F.col("doc_id"), rows_per_language=20, landmarks=9)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df.drop("__found"), model).collect()}
+    assert all(got[i][0] == lang for i, _, lang in rows[:120])
+    assert got[200] == got[201] == got[202] == ("und", 0.0) and got[203][0] == "yy" and got[204][0] == "zz"
+    assert all(0 <= s <= 1 for _, s in got.values())
+    kept = langid.accepted(df, model)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(got) - {200, 201, 202}
+    nothing = langid.train(df.limit(0), F.col("text"), F.col("lang"), F.col("doc_id"))
+    assert {r.lang_pred for r in langid.identify(df.drop("__found"), nothing).collect()} == {"und"}
+    assert {r.doc_id for r in langid.accepted(df, nothing).collect()} == set(got) - {200, 201, 202}
+
+
+def test_folded_weights_are_the_kernel_machine():
+    """Scores by folded weights equal the kernel expansion over the landmarks."""
+    rng = random.Random(2)
+    rows = [(sentence(rng, lang, 8), lang) for lang in ("xx", "yy") for _ in range(6)]
+    model = langid.fit(rows, landmarks=6, ridge=1e-3)
+    seen = model.presence([langid.code_points(t) for t, _ in rows]).astype(float)
+    kernel = (seen @ seen.T) / np.sqrt(np.outer(seen.sum(1), seen.sum(1)))
+    values = (seen @ model.weights) / np.sqrt(seen.sum(1))[:, None]
+    marks = [i for *_, i in sorted((sum(1 for _, x in rows[:i] if x == lang), lang, i) for i, (_, lang) in enumerate(rows))[:6]]
+    coefficients = np.linalg.lstsq(kernel[marks].T @ np.eye(6), values, rcond=None)[0]
+    assert np.allclose(kernel[:, marks] @ coefficients, values, atol=1e-3)
+    assert all(np.sign(v[0]) == (1 if lang == "xx" else -1) for v, (_, lang) in zip(values, rows))
+
+
+def test_line_dedup(spark):
+    rows = [(i, "http://User@Site.example:80/x", f"<p>own {i}</p><div>menu</div>\n<p>menu</p>") for i in range(20)] + [(50 + i, f"https://b.example/{i}", "<p>menu</p><li>b</li>") for i in range(2)]
+    rows += [(90, None, None), (91, "junk", "<p>x &amp; y</p><script>no</script><!-- no -->"), (92, "junk", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    got = {r.page_id: r for r in boilerplate.clean_pages(df).collect()}
+    assert len(got) == len(rows)
+    assert got[3].text == "own 3" and (got[3].host, got[3].n_lines, got[3].n_dropped) == ("site.example", 3, 2)
+    assert got[50].text == "menu\nb" and got[91].text == "x & y" and got[90].text == "" and got[90].host == "" and got[92].n_lines == 0
+    assert boilerplate.clean_pages(df.limit(0)).count() == 0
+    plan = boilerplate.clean_pages(df)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
