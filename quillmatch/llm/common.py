@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: One white-space rule for every word count: space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -41,6 +42,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table (a few numbers or short strings each) that are broadcast at most.
+BROADCAST_ROWS = 200_000
+
+
+def if_small(narrow: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A pinned narrow table, marked for broadcast only if it has few rows.
+
+    A pinned table has no size that the optimiser knows, so it is counted;
+    beyond ``max_rows`` the join stays a shuffled one that Spark can split.
+    """
+    return F.broadcast(narrow) if narrow.limit(max_rows + 1).count() <= max_rows else narrow
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of partitions a shuffle of this session deals to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -11,7 +11,8 @@ is fixed up to one document.
 
 No source is ever sorted in one task.  The rank is cut by a histogram: v =
 q/(1+q) falls into one of ``RANK_CELLS`` cells, words are summed by (source,
-cell), and only the documents of the cell that holds the cut are ordered.
+span of cells), then by the cells of the span that holds the cut, and only the
+documents of the cut's own cell are ordered.
 
 Defined cases: null or blank text has size 0; a null source is a source of its
 own, ranked last; equal rows are exchangeable and the cut may fall between
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import WORD_PATTERN, pinned, positional
+from quillmatch.llm.common import WORD_PATTERN, if_small, pinned, positional
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET_SHARE = 1.5
@@ -31,6 +32,8 @@ MAX_COPIES = 2
 SEED = "mix-1"
 #: Cells of the rank histogram; a cut cell holds about 1/65536 of a source.
 RANK_CELLS = 65536
+#: Cells that are first summed together, so no window sees more than 257 rows.
+SPAN_CELLS = 256
 
 
 def word_count(text: Column) -> Column:
@@ -92,19 +95,27 @@ def _schedule(sized: DataFrame, weights: tuple, budget_share: float, max_copies:
     goals = goals.withColumns({"whole": F.floor(ratio), "p": ratio - F.floor(ratio)}).withColumn("rest", F.col("target") - F.col("whole") * F.col("words"))
     goals = pinned(goals.toDF(*[f"__{c}" for c in goals.columns]))
     ranked = _ranked(sized, goals, F.col("doc_id"), F.col("source"), seed)
-    cells = ranked.filter("__q is not null").groupBy("__source", "__rest", "__cell").agg(F.sum("size").alias("__in"))
-    filled = F.sum("__in").over(Window.partitionBy("__source").orderBy("__cell"))
-    cuts = cells.withColumn("__filled", filled).withColumn("__before", F.col("__filled") - F.col("__in"))
-    cuts = cuts.filter((F.col("__before") <= F.col("__rest")) & (F.col("__filled") > F.col("__rest")))
-    cuts = cuts.select(F.col("__source").alias("__cut_source"), F.col("__cell").alias("__cut"), "__before")
+    ranked = pinned(ranked.filter("__q is not null").select("__source", "__rest", "size", "__cell"))
+    wide = ranked.withColumn("__span", F.floor(F.col("__cell") / SPAN_CELLS)).withColumn("__before", F.lit(0).cast("long"))
+    spans = _cut(wide, "__span").select(F.col("__source").alias("__s"), F.col("__span").alias("__t"), "__before")
+    inside = wide.drop("__before").join(spans, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__span") == F.col("__t")))
+    cuts = _cut(inside, "__cell").select(F.col("__source").alias("__cut_source"), F.col("__cell").alias("__cut"), "__before")
     return pinned(goals.join(cuts, F.col("__source").eqNullSafe(F.col("__cut_source")), "left").drop("__cut_source"))
 
 
+def _cut(rows: DataFrame, cell: str) -> DataFrame:
+    """For each source the cell in which its remaining words run out, and the words before it."""
+    cells = rows.groupBy("__source", "__rest", "__before", cell).agg(F.sum("size").alias("__in"))
+    filled = F.sum("__in").over(Window.partitionBy("__source").orderBy(cell))
+    cells = cells.withColumn("__filled", F.col("__before") + filled).withColumn("__before", F.col("__filled") - F.col("__in"))
+    return cells.filter((F.col("__before") <= F.col("__rest")) & (F.col("__filled") > F.col("__rest")))
+
+
 def _ranked(rows: DataFrame, schedule: DataFrame, doc_id: Column, source: Column, seed: str) -> DataFrame:
     """``rows`` with their source's schedule, ``__q`` and its histogram cell."""
     u = uniform(doc_id, seed)
     odds = (u / (1 - u)) / (F.col("__p") / (1 - F.col("__p")))
-    met = rows.join(schedule, source.eqNullSafe(F.col("__source"))).withColumn("__q", F.when(F.col("__p") > 0, odds))
+    met = rows.join(if_small(schedule), source.eqNullSafe(F.col("__source"))).withColumn("__q", F.when(F.col("__p") > 0, odds))
     return met.withColumn("__cell", F.floor(F.col("__q") / (1 + F.col("__q")) * F.lit(float(RANK_CELLS))).cast("int"))
 
 
