@@ -34,8 +34,9 @@ from pyspark.sql import types as T
 
 #: Marks a word's end inside a token's spelling; no byte symbol looks like it.
 END = "\n"
-#: Words whose encodings a worker keeps; the store is emptied when full.
-KEPT_WORDS = 1_000_000
+#: Words whose encodings a worker keeps young, and as many old: when the young
+#: are that many they become the old ones, of which those used again are kept.
+KEPT_WORDS = 150_000
 LONGEST_KEPT_WORD = 64
 
 #: The file's split for texts whose letters every version of Unicode agrees on;
@@ -79,6 +80,7 @@ class Automaton:
         for text in self.ids:
             self.reach[text[:2]] = max(self.reach.get(text[:2], 1), len(text))
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def _spelling(self, label: str) -> str:
         return label[: -len(self.suffix)] + END if label.endswith(self.suffix) else label
@@ -141,15 +143,16 @@ class Automaton:
         return path[::-1]
 
     def encode_word(self, word: str) -> bytes:
-        """The ids of one pre-split word as packed 32-bit numbers."""
-        found = self.words.get(word)
+        """The ids of a word that is not among the young ones, as packed 32-bit numbers."""
+        found = self.old_words.get(word)
         if found is None:
             symbols = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode()])
             found = np.array(self.encode_symbols(symbols), np.int32).tobytes()
-            if len(word) <= LONGEST_KEPT_WORD:
-                if len(self.words) >= KEPT_WORDS:
-                    self.words.clear()
-                self.words[word] = found
+        if len(word) <= LONGEST_KEPT_WORD:
+            if len(self.words) >= KEPT_WORDS:
+                self.old_words = dict(self.words)
+                self.words.clear()  # the dict itself is what callers look into
+            self.words[word] = found
         return found
 
     def decode(self, ids: np.ndarray) -> str:

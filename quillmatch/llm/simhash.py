@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import pinned, positional, shuffle_width
+from quillmatch.llm.common import if_small, pinned, positional, shuffle_width
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
@@ -252,7 +252,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows that stay, whole: of each group the one with the smallest id.
 
     Rows of groups of one are told apart by an anti join against the grouped
-    rows' (id, text hash), which Spark broadcasts only if it is small.
+    rows' (id, text hash), which is broadcast only if it has few rows.
     """
     rows, (id_name, text) = positional(docs, id_col, text_col)
     doc_id, mark = F.col(id_name), F.xxhash64(F.col(text))
@@ -263,6 +263,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = first.select("__r", F.col("__f.__i").alias("__i"), F.col("__f.__m").alias("__m"))
     marked = rows.withColumn("__mark", mark)
     same = doc_id.eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m"))
-    alone = marked.join(grouped.select("__i", "__m").distinct(), same, "left_anti").select(rows.columns)
-    chosen = marked.join(first, same).dropDuplicates(["__r"]).select(rows.columns)
+    first, seen = pinned(first), pinned(grouped.select("__i", "__m").distinct())
+    alone = marked.join(if_small(seen), same, "left_anti").select(rows.columns)
+    chosen = marked.join(if_small(first), same).dropDuplicates(["__r"]).select(rows.columns)
     return alone.unionByName(chosen).toDF(*docs.columns)

@@ -23,19 +23,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmatch.llm.common import positional
 from quillmatch.llm.exact_dedup import MAX_FILTER_BITS, in_bitmap, suspect_test
 
-WINDOW = 16
+WINDOW = 8
 MEAN_CHUNK = 32
 LONGEST_CHUNK = 4096
-MIN_SPAN = 80
+MIN_SPAN = 64
 SEED = 7
 
 _GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), SEED) & 0xFFFF for b in range(256)], np.uint16)
@@ -150,37 +150,51 @@ def _spans(marks: list[tuple[int, int]], min_span: int) -> list[tuple[int, int]]
     return [(a, b) for a, b in out if b - a >= min_span]
 
 
-def _apply(min_span: int):
-    """For each text and its repeated chunks: the repeated and removed spans in code points, and what stays."""
-
-    def points(data: bytes, spans: list[tuple[int, int]]) -> list[dict]:
-        out, at, n = [], 0, 0
-        for a, b in spans:
-            n += len(data[at:a].decode("utf-8", "surrogatepass"))
-            m = n + len(data[a:b].decode("utf-8", "surrogatepass"))
-            out.append({"start": n, "end": m})
-            at, n = b, m
-        return out
-
-    def run(texts: pd.Series, marks: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, found in zip(texts, marks, strict=True):
-            if found is None or not len(found):
-                rows.append(([], [], text or ""))
-                continue
-            data = _bytes(text)
-            repeated = _spans([(m["at"], m["size"]) for m in found], min_span)
-            removed = _spans([(m["at"], m["size"]) for m in found if not m["first"]], min_span)
-            kept, at = [], 0
-            for a, b in removed:
-                kept.append(data[at:a])
-                at = b
-            kept.append(data[at:])
-            rows.append((points(data, repeated), points(data, removed), b"".join(kept).decode("utf-8", "surrogatepass")))
-        return pd.DataFrame(rows, columns=["repeated", "removed", "text"])
-
-    spans = "array<struct<start:int,end:int>>"
-    return F.pandas_udf(run, f"repeated {spans}, removed {spans}, text string")
+#: Rows whose spans a worker holds as objects at once.
+ROWS_AT_ONCE = 256
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+def _points(data: bytes, spans: list[tuple[int, int]]) -> list[dict]:
+    """Byte spans as code points."""
+    out, at, n = [], 0, 0
+    for a, b in spans:
+        n += len(data[at:a].decode("utf-8", "surrogatepass"))
+        m = n + len(data[a:b].decode("utf-8", "surrogatepass"))
+        out.append({"start": n, "end": m})
+        at, n = b, m
+    return out
+
+
+def _cleared(text: str | None, marks: list[dict] | None, min_span: int) -> tuple[list, list, str]:
+    """The repeated and the removed spans of a text, and what stays of it."""
+    if not marks:
+        return [], [], text or ""
+    data = _bytes(text)
+    repeated = _spans([(m["at"], m["size"]) for m in marks], min_span)
+    removed = _spans([(m["at"], m["size"]) for m in marks if not m["first"]], min_span)
+    kept, at = [], 0
+    for a, b in removed:
+        kept.append(data[at:a])
+        at = b
+    kept.append(data[at:])
+    return _points(data, repeated), _points(data, removed), b"".join(kept).decode("utf-8", "surrogatepass")
+
+
+def _apply(text_at: int, min_span: int):
+    """Replaces the last column, a text's repeated chunks, by its spans and what stays."""
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                done = [_cleared(t.as_py(), m.as_py(), min_span) for t, m in zip(batch.column(text_at), batch.column(batch.num_columns - 1), strict=True)]
+                new = [pa.array([d[k] for d in done], kind) for k, kind in enumerate((spans, spans, pa.string()))]
+                columns = [*batch.columns[:-1], *new]
+                yield pa.RecordBatch.from_arrays(columns, names=[str(k) for k in range(len(columns))])
+
+    return run
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_span: int = MIN_SPAN, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
@@ -198,5 +212,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marks = met.groupBy("id", "mark").agg(F.collect_set(F.struct("at", "size", "first")).alias("__marks"))
     marks = marks.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__marks")
     both = own.join(marks, F.col(id_name).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left")
-    both = both.withColumn("__done", _apply(min_span)(text, F.col("__marks")))
-    return both.select(*own.columns, "__done.repeated", "__done.removed", "__done.text").toDF(*docs.columns, "__repeated", "__removed", "__text")
+    new = [T.StructField("__repeated", _SPANS), T.StructField("__removed", _SPANS), T.StructField("__text", T.StringType())]
+    done = both.select(*own.columns, "__marks").mapInArrow(_apply(own.columns.index(text_name), min_span), T.StructType([*own.schema.fields, *new]))
+    return done.toDF(*docs.columns, "__repeated", "__removed", "__text")
