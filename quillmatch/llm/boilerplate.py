@@ -7,8 +7,10 @@ boilerplate of that host and is dropped from every page of it.
 Lines are counted by their MD5, never by their text, with partial sums before
 the shuffle.  A host has at most (lines per page) / ``MAX_RATIO`` boilerplate
 lines, since every page holds its share of them, so they fit one array per
-host; pages meet their host's array in one equi-join that Spark can broadcast
-or split where a host is hot.
+host.  The boilerplate lines are written down and counted: up to
+``BROADCAST_ROWS`` of them are broadcast, and no page is shuffled; beyond that
+pages meet their host's array in an equi-join that Spark splits where a host
+is hot.
 
 Defined cases: a null page has no lines and an empty text; a null URL or one
 without a host belongs to the host ''; blank lines never count and are
@@ -21,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmatch.llm.common import BROADCAST_ROWS, pinned
+
 MAX_RATIO = 0.1
 MIN_PAGES = 3
 
@@ -51,9 +55,10 @@ def drop_lines(pages: DataFrame, host: Column, lines: Column, max_ratio: float =
     each = rows.select("__host", F.explode(F.array_distinct(F.transform("__lines", lambda x: F.md5(x.cast("binary"))))).alias("__line"))
     often = each.groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_pages)
     totals = rows.groupBy("__host").agg(F.count(F.lit(1)).alias("__pages"))
-    common = often.join(totals, "__host").filter(F.col("__n") > F.lit(max_ratio) * F.col("__pages"))
+    common = pinned(often.join(totals, "__host").filter(F.col("__n") > F.lit(max_ratio) * F.col("__pages")).select("__host", "__line"))
     sites = common.groupBy("__host").agg(F.collect_list("__line").alias("__common")).withColumnRenamed("__host", "__site")
-    met = rows.join(sites, F.col("__host") == F.col("__site"), "left")
+    few = common.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = rows.join(F.broadcast(sites) if few else sites, F.col("__host") == F.col("__site"), "left")
     known = F.coalesce("__common", F.array().cast("array<string>"))
     kept = F.filter("__lines", lambda x: ~F.array_contains(known, F.md5(x.cast("binary"))))
     return met.withColumn("__kept", kept).drop("__site", "__common")
