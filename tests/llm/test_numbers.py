@@ -94,9 +94,11 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     rows += [(300 + i, rows[7][1]) for i in range(25)] + [(400, None), (401, []), (402, [1.0, None]), (403, [float("nan")] * 6), (404, [float("inf")] * 6), (None, [1.0] * 6), (405, [2.0, 3.0]), (410, [1e6] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     expected = plain_top_k(rows, 10)
-    for block, queries in ((4096, 1024), (16, 5)):
+    for block, queries, group, held in ((4096, 1024, 32, 128), (16, 5, 2, 128), (16, 5, 4, 3)):
         monkeypatch.setattr(topk, "BLOCK_ROWS", block)
         monkeypatch.setattr(topk, "QUERY_ROWS", queries)
+        monkeypatch.setattr(topk, "GROUP_BLOCKS", group)
+        monkeypatch.setattr(topk, "HELD_BLOCKS", held)
         got = {tuple(r) for r in topk.top_k(df.repartition(3), F.col("vec_id") % 10 == 0).collect()}
         assert got == expected
     assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
