@@ -1,9 +1,10 @@
 """Substring dedup by content-defined chunking (operator 2).
 
-A gear hash rolls over the bytes of a text; where it falls below a bound, and
-a character ends, a chunk ends.  The hash depends on the last ``WINDOW`` bytes
-only, so an insertion moves no boundary but those beside it, and a passage
-that two texts share is cut alike in both.  Chunks are compared by 128-bit
+A gear hash rolls over the bytes of a text; where a character ends and the hash
+is least among those within ``RADIUS`` bytes, a chunk ends.  The hash depends
+on the last ``WINDOW`` bytes only, so an insertion moves no boundary but those
+beside it, and a passage that two texts share is cut alike in both.  Minima lie
+more evenly than places below a bound, so fewer passages miss whole chunks.  Chunks are compared by 128-bit
 digest.  Runs of neighbouring repeated chunks of ``MIN_SPAN`` bytes and more
 are repeated passages; all but the first occurrence (smallest id, then place)
 are removed.
@@ -33,13 +34,14 @@ from quillmatch.llm.common import positional
 from quillmatch.llm.exact_dedup import MAX_FILTER_BITS, in_bitmap, suspect_test
 
 WINDOW = 8
-MEAN_CHUNK = 32
+RADIUS = 16
+MEAN_CHUNK = 2 * RADIUS + 1
 LONGEST_CHUNK = 4096
 MIN_SPAN = 64
 SEED = 7
 
 _GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), SEED) & 0xFFFF for b in range(256)], np.uint16)
-_BOUND = 65536 // MEAN_CHUNK
+_NEVER = np.uint16(0xFFFF)
 
 
 def chunk_ends(data: bytes) -> np.ndarray:
@@ -55,8 +57,14 @@ def chunk_ends(data: bytes) -> np.ndarray:
         shifted[width:] = rolled[:-width] << np.uint16(width) if width < n else 0
         rolled = rolled + shifted
         width *= 2
-    cut = rolled < _BOUND
-    cut[:-1] &= (raw[1:] & 0xC0) != 0x80
+    rolled[:-1][(raw[1:] & 0xC0) == 0x80] = _NEVER  # inside a character
+    least, width = rolled.copy(), 1
+    while width < RADIUS:  # least[i] = min of rolled[i - RADIUS + 1 : i + 1]
+        least[width:] = np.minimum(least[width:], least[:-width])
+        width *= 2
+    cut = np.ones(n, bool)
+    cut[1:] = rolled[1:] < least[:-1]
+    cut[:-RADIUS] &= rolled[:-RADIUS] <= least[RADIUS:]
     cut[-1] = True
     ends = np.flatnonzero(cut) + 1
     if np.diff(ends, prepend=0).max() > LONGEST_CHUNK:

@@ -207,7 +207,7 @@ def test_chunks_resist_insertions():
     for e in ends:
         data[:e].decode()
     moved = set(substring_dedup.chunk_ends(data[:5000] + b"inserted" + data[5000:]).tolist())
-    after = [e for e in ends.tolist() if e > 5000 + substring_dedup.WINDOW]
+    after = [e for e in ends.tolist() if e > 5000 + substring_dedup.WINDOW + substring_dedup.RADIUS]
     assert all(e + 8 in moved for e in after)
     assert np.diff(substring_dedup.chunk_ends(b"a" * 50_000), prepend=0).max() <= substring_dedup.LONGEST_CHUNK
 
