@@ -3,9 +3,11 @@
 Four fixed patterns give the base spans: email, ip, card and phone.  They are
 the seeds of a bootstrap.  Every mention, seed or candidate of a looser shape,
 is an edge between an instance (kind and normalised value) and the lexical
-patterns around it (the word before, the word after).  In each round Spark
-scores patterns by the trusted mentions among all places of their word in the
-whole corpus, and candidate instances by the patterns that hold them.
+patterns around it (the word before, the word after; of a word glued to the value, the
+part outside it).  In each round Spark scores patterns by their trusted
+mentions against the places in the whole corpus where their word stands beside
+no mention; places beside candidates not trusted yet count neither way.
+Candidate instances are scored by the patterns that hold them.
 Candidates that reach ``TRUST`` are trusted in the next round, so new values
 bring new patterns.  All mentions of a trusted candidate are added to the base
 spans; common words never become confident, since the places where they stand
@@ -57,8 +59,12 @@ _LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4
 _LOOSE_CARD = re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_ -]{1,3}[0-9]{4}){2}[./_ -]{1,3}[0-9]{1,7}(?![0-9A-Za-z])")
 _COLONS = re.compile(r":[0-9A-Fa-f]{0,4}:")
 _LOOSE_IP = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
-_BEFORE = re.compile(r"(\S{1,40})\s*$")
-_AFTER = re.compile(r"\s*(\S{1,40})")
+#: Characters of a word that a pattern keeps, those nearest to the value.
+CUE_CHARS = 40
+_BEFORE = re.compile(r"\S+$")
+_AFTER = re.compile(r"\S+")
+#: Where values may begin or end in a word: at both ends of its runs.
+_RUN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
 
 
 def luhn(digits: str) -> bool:
@@ -157,54 +163,97 @@ def normal_value(kind: str, value: str) -> str:
 
 
 def _context(text: str, a: int, b: int) -> tuple[str, str]:
-    before, after = _BEFORE.search(text[max(0, a - 48) : a]), _AFTER.match(text[b : b + 48])
-    return (before[1].lower() if before else ""), (after[1].lower() if after else "")
+    while a and text[a - 1].isspace():
+        a -= 1
+    while b < len(text) and text[b].isspace():
+        b += 1
+    before, after = _BEFORE.search(text[max(0, a - CUE_CHARS) : a]), _AFTER.match(text[b : b + CUE_CHARS])
+    return (before[0].lower() if before else ""), (after[0].lower() if after else "")
+
+
+def word_places(word: str) -> Iterator[tuple[str, str]]:
+    """What ``_context`` finds before (L) and after (R) values that begin or end in or beside a word."""
+    if word.isascii() and word.isalpha():
+        low = word.lower()
+        yield "L", low[-CUE_CHARS:]
+        yield "R", low[:CUE_CHARS]
+        return
+    for m in _RUN.finditer(word):
+        yield "L", word[max(0, m.end() - CUE_CHARS) : m.end()].lower()
+        yield "R", word[m.start() : m.start() + CUE_CHARS].lower()
+
+
+def held_places(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str]]:
+    """The places of ``word_places`` that lie at or inside mentions, every place once."""
+    found: dict[tuple[str, int], str] = {}
+    for _, a, b in spans:
+        left, right = a, b
+        while left and text[left - 1].isspace():
+            left -= 1
+        while right < len(text) and text[right].isspace():
+            right += 1
+        runs = [m.span() for m in _RUN.finditer(text, a, b) if not m[0].isspace()]
+        for end in (left, *[e for _, e in runs if e < b]):
+            before = _BEFORE.search(text[max(0, end - CUE_CHARS) : end])
+            found["L", end] = before[0].lower() if before else ""
+        for start in (right, *[x for x, _ in runs if x > a]):
+            after = _AFTER.match(text[start : start + CUE_CHARS])
+            found["R", start] = after[0].lower() if after else ""
+    return [(side, word) for (side, _), word in found.items() if word]
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _MENTION = T.StructType([*_SPAN.elementType.fields, *[T.StructField(n, T.StringType()) for n in ("value", "before", "after")], T.StructField("seed", T.BooleanType())])
+_PLACE = T.StructType([T.StructField("side", T.StringType()), T.StructField("word", T.StringType())])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text its base spans and its mentions."""
+    """For each text its base spans, its mentions and the places that these hold."""
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     mention = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("before", pa.string()), ("after", pa.string()), ("seed", pa.bool_())]))
+    place = pa.list_(pa.struct([("side", pa.string()), ("word", pa.string())]))
     for batch in batches:
-        bases, mentions = [], []
+        bases, mentions, places = [], [], []
         for cell in batch.column(1):
             text = cell.as_py() or ""
             base = base_spans(text)
-            rows = []
-            for seed, spans in ((True, base), (False, loose_spans(text, base))):
+            loose, rows = loose_spans(text, base), []
+            for seed, spans in ((True, base), (False, loose)):
                 for kind, a, b in spans:
                     before, after = _context(text, a, b)
                     rows.append({"kind": kind, "start": a, "end": b, "value": normal_value(kind, text[a:b]), "before": before, "after": after, "seed": seed})
             bases.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
             mentions.append(rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, span), pa.array(mentions, mention)], names=["doc_id", "base", "mentions"])
+            places.append([{"side": side, "word": word} for side, word in held_places(text, base + loose)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, span), pa.array(mentions, mention), pa.array(places, place)], names=["doc_id", "base", "mentions", "held"])
 
 
-def _count_words(cues):
+def _count_places(cues):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, counts = cues.value if cues else None, Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            sides, words = zip(*counts, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(sides, pa.string()), pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["side", "word", "n"])
 
         for batch in batches:
+            words = Counter()
             for cell in batch.column(0):
-                words = (cell.as_py() or "").lower().split()
-                counts.update(words if wanted is None else [w for w in words if w in wanted])
-            if len(counts) > 500_000:
-                yield out()
-                counts = Counter()
+                words.update((cell.as_py() or "").split())
+            for word, n in words.items():
+                for place in word_places(word):
+                    if wanted is None or place in wanted:
+                        counts[place] += n
+                if len(counts) > 500_000:
+                    yield out()
+                    counts.clear()
         if counts:
             yield out()
 
     return run
 
 
-def _trusted_values(mentions: DataFrame, texts: DataFrame, trust: float, support: int, rounds: int) -> DataFrame:
+def _trusted_values(mentions: DataFrame, held: DataFrame, texts: DataFrame, trust: float, support: int, rounds: int) -> DataFrame:
     """Rows (kind, value) of candidates that the bootstrap believes."""
     spark = mentions.sparkSession
     sides = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("before").alias("word")), F.struct(F.lit("R").alias("side"), F.col("after").alias("word")))).alias("p")
@@ -212,16 +261,19 @@ def _trusted_values(mentions: DataFrame, texts: DataFrame, trust: float, support
     edges = pinned(edges.groupBy("kind", "value", "side", "word").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")))
     # Only patterns of enough different values can be believed in any round.
     able = edges.groupBy("kind", "side", "word").agg(F.count(F.lit(1)).alias("values")).filter(F.col("values") >= support)
-    words = pinned(able.select("word").distinct())
+    words = pinned(able.select("side", "word").distinct())
     few = words.limit(MAX_CUES + 1).count() <= MAX_CUES
-    cues = spark.sparkContext.broadcast({r[0] for r in words.collect()}) if few else None
-    places = texts.mapInArrow(_count_words(cues), "word string, n long").groupBy("word").agg(F.sum("n").alias("places"))
-    able = pinned(able.join(places, "word").select("kind", "side", "word", "places"))
+    cues = spark.sparkContext.broadcast({(r["side"], r["word"]) for r in words.collect()}) if few else None
+    places = texts.mapInArrow(_count_places(cues), "side string, word string, n long").groupBy("side", "word").agg(F.sum("n").alias("places"))
+    held = held.join(words, ["side", "word"]).groupBy("side", "word").agg(F.count(F.lit(1)).alias("held"))
+    bare = held.join(places, ["side", "word"], "left").select("side", "word", F.greatest(F.coalesce("places", "held") - F.col("held"), F.lit(0)).alias("bare"))
+    able = pinned(able.join(bare, ["side", "word"]).select("kind", "side", "word", "bare"))
     edges = pinned(edges.join(able, ["kind", "side", "word"]))
     trusted = edges.filter("seed").select("kind", "value").distinct().withColumn("score", F.lit(1.0))
     for _ in range(rounds):
         scored = edges.join(trusted, ["kind", "value"], "left").fillna(0.0, ["score"])
-        patterns = scored.groupBy("kind", "side", "word").agg((F.sum(F.col("n") * F.col("score")) / F.max("places")).alias("belief"), F.sum((F.col("score") > 0).cast("int")).alias("values"))
+        patterns = scored.groupBy("kind", "side", "word").agg(F.sum(F.col("n") * F.col("score")).alias("held"), F.max("bare").alias("bare"), F.sum((F.col("score") > 0).cast("int")).alias("values"))
+        patterns = patterns.withColumn("belief", F.try_divide("held", F.col("held") + F.col("bare")))
         patterns = patterns.filter((F.col("belief") >= trust) & (F.col("values") >= support)).select("kind", "side", "word", F.least("belief", F.lit(0.999)).alias("belief"))
         new = edges.filter("not seed").join(patterns, ["kind", "side", "word"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.col("belief"))))).alias("score"))
         seeds = edges.filter("seed").select("kind", "value").distinct().withColumn("score", F.lit(1.0))
@@ -235,10 +287,11 @@ def _trusted_values(mentions: DataFrame, texts: DataFrame, trust: float, support
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trust: float = TRUST, support: int = LEAST_SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """Rows (doc_id, base, added): arrays of (kind, start, end) for every row of ``docs``."""
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    schema = T.StructType([slim.schema["doc_id"], T.StructField("base", _SPAN), T.StructField("mentions", T.ArrayType(_MENTION))])
+    schema = T.StructType([slim.schema["doc_id"], T.StructField("base", _SPAN), T.StructField("mentions", T.ArrayType(_MENTION)), T.StructField("held", T.ArrayType(_PLACE))])
     rows = pinned(slim.mapInArrow(_scan, schema).withColumn("row", F.monotonically_increasing_id()))
     mentions = pinned(rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*"))
-    believed = _trusted_values(mentions, slim.select("text"), trust, support, rounds)
+    held = rows.select(F.explode("held").alias("p")).select("p.*")
+    believed = _trusted_values(mentions, held, slim.select("text"), trust, support, rounds)
     added = mentions.filter("not seed").join(believed, ["kind", "value"]).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     both = rows.select("row", "doc_id", "base").join(added, "row", "left")
     return both.select("doc_id", "base", F.coalesce("added", F.array().cast(_SPAN)).alias("added"))
