@@ -4,8 +4,11 @@ A gear hash rolls over the bytes of a text; where a character ends and the hash
 is least among those within ``RADIUS`` bytes, a chunk ends.  The hash depends
 on the last ``WINDOW`` bytes only, so an insertion moves no boundary but those
 beside it, and a passage that two texts share is cut alike in both.  Minima lie
-more evenly than places below a bound, so fewer passages miss whole chunks.  Chunks are compared by 128-bit
-digest.  Runs of neighbouring repeated chunks of ``MIN_SPAN`` bytes and more
+more evenly than places below a bound, so fewer passages miss whole chunks.  Text
+with a period of up to ``RADIUS`` bytes has no such place; it is cut into whole
+periods from its least hash on, and its chunks are told apart by their number
+up to ``LONGEST_CHUNK``, so a lone run does not count as its own repeat below
+that.  Chunks are compared by 128-bit digest.  Runs of neighbouring repeated chunks of ``MIN_SPAN`` bytes and more
 are repeated passages; all but the first occurrence (smallest id, then place)
 are removed.
 
@@ -46,10 +49,15 @@ _NEVER = np.uint16(0xFFFF)
 
 def chunk_ends(data: bytes) -> np.ndarray:
     """Ends of the chunks of one text's bytes, the last one its length."""
+    return _chunks(data)[0]
+
+
+def _chunks(data: bytes) -> tuple[np.ndarray, dict[int, int]]:
+    """Ends of the chunks, and by end the number of those within a periodic run."""
     raw = np.frombuffer(data, np.uint8)
     n = len(raw)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), {}
     rolled = _GEAR[raw]
     width = 1
     while width < WINDOW:  # h[i] = sum of gear[i - j] << j over the window, by doubling
@@ -67,9 +75,37 @@ def chunk_ends(data: bytes) -> np.ndarray:
     cut[:-RADIUS] &= rolled[:-RADIUS] <= least[RADIUS:]
     cut[-1] = True
     ends = np.flatnonzero(cut) + 1
+    numbers: dict[int, int] = {}
+    for k in np.flatnonzero(np.diff(ends, prepend=0) >= MIN_SPAN).tolist():
+        start, end = int(ends[k - 1]) if k else 0, int(ends[k])
+        # A run of MIN_SPAN bytes holds a whole block whose second half stands earlier in it too.
+        if any(data.find(data[at + RADIUS : at + 2 * RADIUS], at) < at + RADIUS for at in range(start, end - 2 * RADIUS + 1, 2 * RADIUS)):
+            _split_periods(start, end, raw, rolled, numbers)
+    if numbers:
+        ends = np.union1d(ends, np.fromiter(numbers, np.int64))
     if np.diff(ends, prepend=0).max() > LONGEST_CHUNK:
         ends = _split_long(ends, raw)
-    return ends
+    return ends, numbers
+
+
+def _split_periods(start: int, end: int, raw: np.ndarray, rolled: np.ndarray, numbers: dict[int, int]) -> None:
+    """Cuts the longest periodic run between two ends into chunks of whole periods."""
+    part = raw[start:end]
+    best = (0, 0, 0)  # length, start, period
+    for period in range(1, RADIUS + 1):
+        edges = np.flatnonzero(np.concatenate(([True], part[period:] != part[:-period], [True])))
+        gaps = np.diff(edges)
+        k = int(gaps.argmax())
+        best = max(best, (int(gaps[k]) - 1 + period, start + int(edges[k]), -period))
+    length, first, period = best[0], best[1], -best[2]
+    if length < MIN_SPAN:
+        return
+    at = first + WINDOW - 1
+    at += int(rolled[at : at + period].argmin()) + 1  # the same turn of the period in every text
+    size = period * -(-MEAN_CHUNK // period)
+    numbers.setdefault(at, 0)
+    for number, stop in enumerate(range(at + size, first + length + 1, size)):
+        numbers[stop] = number % (LONGEST_CHUNK // size) + 1
 
 
 def _split_long(ends: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -86,11 +122,11 @@ def _split_long(ends: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _digests(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _digests(data: bytes, ends: np.ndarray, numbers: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Both halves of every chunk's digest."""
     digest, start, packed = xxhash.xxh3_128_digest, 0, []
     for end in ends.tolist():
-        packed.append(digest(data[start:end]))
+        packed.append(digest(data[start:end], numbers.get(end, 0)))
         start = end
     halves = np.frombuffer(b"".join(packed), np.int64).reshape(-1, 2)
     return halves[:, 0], halves[:, 1]
@@ -105,7 +141,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0):
             data = _bytes(text.as_py())
             if data:
-                yield pa.RecordBatch.from_arrays([pa.array(_digests(data, chunk_ends(data))[0])], names=["hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(data, *_chunks(data))[0])], names=["hash"])
 
 
 def _gathered(rows_at_once: int = 50_000):
@@ -129,8 +165,8 @@ def _suspects(slot_bits: int, shared):
     names = ["id", "mark", "at", "size", "d1", "d2"]
 
     def one(i: int | None, mark: int, data: bytes) -> pa.RecordBatch:
-        ends = chunk_ends(data)
-        d1, d2 = _digests(data, ends)
+        ends, numbers = _chunks(data)
+        d1, d2 = _digests(data, ends, numbers)
         sizes = np.diff(ends, prepend=0)
         may = in_bitmap(d1, slot_bits, shared.value)
         n = int(may.sum())

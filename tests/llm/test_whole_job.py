@@ -2,7 +2,9 @@
 
 import random
 
-from quillmatch.llm import pii
+import pytest
+
+from quillmatch.llm import pii, substring_dedup
 
 
 def planted(rng, before, after, seeds, unseen, prose):
@@ -37,3 +39,24 @@ def test_every_context_is_a_counted_place():
             assert (not before or ("L", before) in places) and (not after or ("R", after) in places)
         inside = pii.held_places(text, base + pii.loose_spans(text, base))
         assert set(inside) <= places
+
+
+def shared_bytes(a, b):
+    """Bytes of ``b`` in repeated passages, and the bytes ``a`` repeats of itself."""
+    marks, seen = [], set()
+    for text in (a.encode(), b.encode()):
+        ends, numbers = substring_dedup._chunks(text)
+        at = [0, *ends.tolist()]
+        marks.append([(d, x, y - x) for d, x, y in zip(zip(*substring_dedup._digests(text, ends, numbers), strict=True), at, at[1:], strict=False)])
+    seen = {d for d, *_ in marks[0]}
+    return sum(y - x for x, y in substring_dedup._spans([m[1:] for m in marks[1] if m[0] in seen], substring_dedup.MIN_SPAN)), len(marks[0]) - len(seen)
+
+
+@pytest.mark.parametrize("unit, times", [("no data ", 51), ("no data ", 400), ("lorem ipsum ", 300), ("yes no maybe so ", 60), ("é", 300), ("a ", 64)])
+def test_short_periods_are_cut_by_content(unit, times):
+    for seed in range(12):
+        rng = random.Random(seed)
+        head, tail, other, end = (" ".join("".join(rng.choice("bcdfghjk") for _ in range(rng.randrange(2, 9))) for _ in range(n)) for n in (60, 60, 47, 71))
+        passage = unit * times
+        shared, own = shared_bytes(f"{head} {passage}{tail}", f"{other} {passage}{end}")
+        assert shared >= len(passage.encode()) - 100 and shared > 0 and own == 0
