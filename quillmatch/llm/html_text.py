@@ -11,7 +11,9 @@ The least density on its path to the body is a threshold: blocks beside that
 path which reach it belong to the content too, unless the content lies in an
 article element, which then is the whole content.  Parts that say what they
 are by element, role, class or id (menus, headers, footers, sidebars, notices,
-adverts, forms, comments) never count and never come out.
+adverts, forms, comments) never count and never come out; a form that holds
+most of the page is no such part, nor are headings, sections and paragraphs
+for words that a text's own parts are named by (``AMBIGUOUS``).
 
 Defined cases: a null or blank page gives an empty text; unclosed and
 wrongly nested elements are closed as browsers close them; a page without tags
@@ -39,11 +41,14 @@ BLOCKS = frozenset(
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 pre dt li td th tr caption figcaption summary legend option address hr".split())
 CLOSES_P = BLOCKS - frozenset("body html caption tbody td tfoot th thead tr option optgroup legend".split())
 SCOPES = frozenset("html table td th caption button object template".split())
-DROPPED = frozenset("head script style title nav header footer aside form noscript template iframe svg canvas math object embed applet audio video button select textarea input label fieldset dialog menu xmp noembed noframes datalist".split())
+DROPPED = frozenset("head script style title nav header footer aside form noscript template iframe svg canvas object embed applet audio video button select textarea input label fieldset dialog menu xmp noembed noframes datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager footer foot header masthead topbar toolbar sidebar sidebars aside rail widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay paywall newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond discussion reactions share sharing social related recommended recommendations trending skip".split()
 )
+#: Names that a text's own headings, sections and paragraphs have too.
+AMBIGUOUS = frozenset("alert discussion foot login notice notices promotion reactions related recommendations recommended replies reply respond share sharing signup skip social subscription trending".split())
+OWN_PARTS = frozenset("h1 h2 h3 h4 h5 h6 section p".split())
 KEPT_WHOLE = frozenset("html body main article".split())
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
@@ -155,7 +160,7 @@ class Page:
             self._close_if_open(("option",), frozenset(("select",)))
         self.tag.append(name)
         self.parent.append(self._stack[-1])
-        self.named.append(bool(inside.strip()) and name not in KEPT_WHOLE and self._says_other(inside))
+        self.named.append(bool(inside.strip()) and name not in KEPT_WHOLE and self._says_other(name, inside))
         if name == "article" and inside and self._is_comment(inside):
             self.named[-1] = True
         self._stack.append(len(self.tag) - 1)
@@ -182,9 +187,9 @@ class Page:
                 hidden = True
         return words, role, hidden
 
-    def _says_other(self, inside: str) -> bool:
+    def _says_other(self, name: str, inside: str) -> bool:
         words, role, hidden = self._words(inside)
-        return hidden or role in ROLES or not words.isdisjoint(NAMES)
+        return hidden or role in ROLES or not words.isdisjoint(NAMES - AMBIGUOUS if name in OWN_PARTS else NAMES)
 
     def _is_comment(self, inside: str) -> bool:
         return not self._words(inside)[0].isdisjoint(("comment", "comments", "reply", "replies"))
@@ -281,30 +286,47 @@ def main_text(html: str | None) -> str:
     if not html or not _BLANK.search(html):
         return ""
     page = Page(html)
+    forms = _wrapping_forms(page)
     for by_name in (True, False):
         skip = [False] * len(page.tag)
         for i in range(1, len(skip)):
-            skip[i] = skip[page.parent[i]] or page.tag[i] in DROPPED or by_name and page.named[i]
-        _unskip_wrappers(page, skip)
+            skip[i] = skip[page.parent[i]] or page.tag[i] in DROPPED and i not in forms or by_name and page.named[i]
+        _unskip_wrappers(page, skip, forms)
         text = _render(page, skip, _chosen(page, skip))
         if text:
             return text
     return ""
 
 
-def _unskip_wrappers(page: Page, skip: list[bool]) -> None:
+def _wrapping_forms(page: Page) -> set[int]:
+    """Forms that hold more than half of the text that no other element drops."""
+    n = len(page.tag)
+    if "form" not in page.tag:
+        return set()
+    out, size = [False] * n, [0] * n
+    for i in range(1, n):
+        out[i] = out[page.parent[i]] or page.named[i] or page.tag[i] in DROPPED and page.tag[i] != "form"
+    for node, text in page.events:
+        if text is not None and not out[node]:
+            size[node] += len("".join(text.split()))
+    for i in range(n - 1, 0, -1):
+        size[page.parent[i]] += size[i]
+    return {i for i in range(n) if page.tag[i] == "form" and 2 * size[i] > size[0]}
+
+
+def _unskip_wrappers(page: Page, skip: list[bool], forms: set[int]) -> None:
     """A block dropped by name that holds the page's only article is a wrapper."""
     tag, parent = page.tag, page.parent
     if any(tag[i] in ("article", "main") and not skip[i] for i in range(len(tag))):
         return
     for i in range(1, len(tag)):
-        if tag[i] in ("article", "main") and not page.named[i] and not any(tag[x] in DROPPED for x in _ancestors(parent, i)):
+        if tag[i] in ("article", "main") and not page.named[i] and not any(tag[x] in DROPPED and x not in forms for x in _ancestors(parent, i)):
             keep = {i, *_ancestors(parent, i)}
             for k in sorted(keep):
                 skip[k] = False
             for k in range(1, len(tag)):
                 if k not in keep:
-                    skip[k] = skip[parent[k]] and parent[k] not in keep or tag[k] in DROPPED or page.named[k]
+                    skip[k] = skip[parent[k]] and parent[k] not in keep or tag[k] in DROPPED and k not in forms or page.named[k]
             return
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quillmatch.llm import pii, substring_dedup
+from quillmatch.llm import html_text, pii, substring_dedup
 
 
 def planted(rng, before, after, seeds, unseen, prose):
@@ -60,3 +60,12 @@ def test_short_periods_are_cut_by_content(unit, times):
         passage = unit * times
         shared, own = shared_bytes(f"{head} {passage}{tail}", f"{other} {passage}{end}")
         assert shared >= len(passage.encode()) - 100 and shared > 0 and own == 0
+
+
+def test_parts_of_the_text_with_ambiguous_names_stay():
+    own = "<h2 id='related-work'>Related work</h2><p class='notice'>Mind the step.</p><section id='discussion'><h2 id='login'>Login</h2><p>We discuss <math><mi>x</mi></math> here.</p></section>"
+    other = "<div class='share'>Share this</div><div class='comments'><p>A comment.</p></div>"
+    wanted = "Related work\nMind the step.\nLogin\nWe discuss x here."
+    assert html_text.main_text(f"<body><article>{own}{other}</article></body>") == wanted
+    assert html_text.main_text(f"<body><form><nav>Menu</nav><div>{own}</div></form></body>") == wanted
+    assert html_text.main_text(f"<body><article>{own}<form>Mail <input></form></article></body>") == wanted
