@@ -8,8 +8,8 @@ per tag adjusted for links:
 
 The content is the block whose children's densities have the greatest sum.
 The least density on its path to the body is a threshold: blocks beside that
-path which reach it belong to the content too, unless the content lies in an
-article element, which then is the whole content.  Parts that say what they
+path which reach it belong to the content too.  An article (or else main) element
+around the block stands for it, so the whole element belongs to the content.  Parts that say what they
 are by element, role, class or id (menus, headers, footers, sidebars, notices,
 adverts, forms, comments) never count and never come out; a form that holds
 most of the page is no such part, nor are headings, sections and paragraphs
@@ -236,8 +236,9 @@ def _chosen(page: Page, skip: list[bool]) -> set[int]:
     best = max(blocks, key=lambda i: (total[i], -i))
     path = [best, *_ancestors(parent, best)]
     articles = [i for i in path if tag[i] == "article"] or [i for i in path if tag[i] == "main"]
-    if articles:
-        return {articles[-1]}
+    if articles:  # the element stands for its densest block
+        best = articles[-1]
+        path = path[path.index(best) :]
     path = path[: path.index(body) + 1] if body in path else path
     threshold = min(density[i] for i in path)
     on_path, chosen = set(path), {best}

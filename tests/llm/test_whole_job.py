@@ -69,3 +69,11 @@ def test_parts_of_the_text_with_ambiguous_names_stay():
     assert html_text.main_text(f"<body><article>{own}{other}</article></body>") == wanted
     assert html_text.main_text(f"<body><form><nav>Menu</nav><div>{own}</div></form></body>") == wanted
     assert html_text.main_text(f"<body><article>{own}<form>Mail <input></form></article></body>") == wanted
+
+
+def test_a_text_in_two_articles_is_whole():
+    first, second = ("".join(f"<p>Part {part}, paragraph {i} runs on for a while.</p>" for i in range(n)) for part, n in (("one", 3), ("two", 4)))
+    wanted = "\n".join(f"Part {part}, paragraph {i} runs on for a while." for part, n in (("one", 3), ("two", 4)) for i in range(n))
+    for wrap in ("%s", "<div>%s</div>"):
+        html = f"<body>{wrap % f'<article>{first}</article><article>{second}</article>'}<div><a href='/'>Home</a> <a href='/x'>More</a></div></body>"
+        assert html_text.main_text(html) == wanted
