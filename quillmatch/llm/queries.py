@@ -61,7 +61,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
 
     def written(spans: Column) -> Column:
-        order = F.array(*[F.lit(k) for k in pii.KINDS])
+        order = F.array(*[F.lit(k) for k in pii.ORDER])
         placed = F.array_sort(F.transform(spans, lambda x: F.struct(F.array_position(order, x["kind"]).alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
         return F.array_join(F.transform(placed, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
@@ -70,7 +70,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(k) for k in pii.KINDS]
     every = written(F.concat("base", "added")).alias("spans")
-    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), every)
+    every_count = (F.size("base") + F.size("added")).cast("long")
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), every, F.size("added").cast("long").alias("n_added"), (every_count > 0).alias("personal"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
