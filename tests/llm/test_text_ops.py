@@ -152,18 +152,64 @@ def test_language_id(spark):
     assert {r.doc_id for r in langid.accepted(df, nothing).collect()} == set(got) - {200, 201, 202}
 
 
-def test_folded_weights_are_the_kernel_machine():
-    """Scores by folded weights equal the kernel expansion over the landmarks."""
+def plain_kernel(x, y):
+    """Shared n-grams over the geometric mean of both numbers, by sets."""
+    a, b = ({t[i : i + n] for t in ["".join(c if c.isalpha() else "." for c in text.lower())] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for text in (x, y))
+    return len(a & b) / np.sqrt(len(a) * len(b))
+
+
+@pytest.mark.parametrize("languages, letters", [(2, 0), (5, 0), (3, 300)])
+def test_values_are_those_of_kernel_ridge_regression(languages, letters):
+    """With every row a landmark the machine is plain weighted kernel ridge regression."""
     rng = random.Random(2)
-    rows = [(sentence(rng, lang, 8), lang) for lang in ("xx", "yy") for _ in range(6)]
-    model = langid.fit(rows, landmarks=6, ridge=1e-3)
-    seen = model.presence([langid.code_points(t) for t, _ in rows]).astype(float)
-    kernel = (seen @ seen.T) / np.sqrt(np.outer(seen.sum(1), seen.sum(1)))
-    values = (seen @ model.weights) / np.sqrt(seen.sum(1))[:, None]
-    marks = [i for *_, i in sorted((sum(1 for _, x in rows[:i] if x == lang), lang, i) for i, (_, lang) in enumerate(rows))[:6]]
-    coefficients = np.linalg.lstsq(kernel[marks].T @ np.eye(6), values, rcond=None)[0]
-    assert np.allclose(kernel[:, marks] @ coefficients, values, atol=1e-3)
-    assert all(np.sign(v[0]) == (1 if lang == "xx" else -1) for v, (_, lang) in zip(values, rows))
+    scripts = [[chr(0x4E00 + 1000 * k + j) for j in range(letters)] or [chr(97 + 3 * k + j) for j in range(6)] for k in range(languages)]
+
+    def text(k):
+        return "".join(rng.choice(scripts[k] + ([" ", "7"] if rng.random() < 0.3 else ["a"])) for _ in range(80))
+
+    rows = [(text(k), f"l{k}") for k in range(languages) for _ in range(4 + k)]
+    asked = [text(k) for k in range(languages) for _ in range(5)]
+    model = langid.fit(rows, landmarks=100, ridge=1e-2)
+    kernel = np.array([[plain_kernel(x, y) for y, _ in rows] for x, _ in rows])
+    goal = np.array([[1.0 if lang == x else -1.0 for x in model.languages] for _, lang in rows])
+    counts = np.array([sum(x == lang for _, x in rows) for _, lang in rows])
+    each = len(rows) / (languages * counts)
+    dual = np.linalg.solve(kernel + 1e-2 * len(rows) * np.diag(1 / each), goal)
+    expected = np.array([[plain_kernel(x, y) for y, _ in rows] for x in asked]) @ dual
+    got = model.values([langid.ngrams(langid.code_points(t)) for t in asked])
+    assert np.allclose(got, expected, atol=1e-4)
+    assert [lang for lang, _ in model.predict(asked)] == [f"l{k}" for k in range(languages) for _ in range(5)]
+
+
+def test_two_hundred_languages_have_landmarks_each():
+    rng = random.Random(4)
+    scripts = [[chr(0x4E00 + 90 * k + j) for j in range(90)] for k in range(200)]
+    rows = [("".join(rng.choice(s) for _ in range(60)), f"l{k:03d}") for k, s in enumerate(scripts) for _ in range(3)]
+    model = langid.fit(rows, landmarks=2)
+    asked = ["".join(rng.choice(s) for _ in range(60)) for s in scripts]
+    assert [lang for lang, _ in model.predict(asked)] == model.languages
+
+
+def test_language_id_odd_tables(spark):
+    rows = [(i, "lorem ipsum dolor", "xx") for i in range(5)] + [(5 + i, "größe " * (5000 + i), "yy") for i in range(3)]
+    rows += rows[:2]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("__found", F.lit(1)).withColumn("score", F.lit(7))
+    model = langid.train(df, F.col("text"), F.col("lang"), F.col("doc_id"))
+    assert model.languages == ["xx", "yy"]
+    found = langid.identify(df, model)
+    assert found.columns == [*df.columns, "lang_pred", "score"] and [r.lang_pred for r in found.select("lang", "lang_pred").collect()] == [r[2] for r in rows]
+    empty = df.limit(0)
+    assert langid.identify(empty, model).count() == 0 and langid.accepted(empty, model).count() == 0
+    twins = langid.fit([("same text", "b"), ("same text", "a")])
+    assert twins.predict(["same text"]) == [("a", 0.5)]
+    assert langid.ngrams(langid.code_points("ab")).tolist() == sorted([97, 98, (97 << 21) | 98])
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    text = "".join(random.Random(1).choice("abc é1") for _ in range(500))
+    whole = langid.ngrams(langid.code_points(text))
+    monkeypatch.setattr(langid, "CHARS_AT_ONCE", 16)
+    assert np.array_equal(langid.ngrams(langid.code_points(text)), whole)
 
 
 def test_line_dedup(spark):
