@@ -1,11 +1,14 @@
 """Matching of patterns against texts, and resolution of overlaps.
 
-A text is tokenised once into an array; positions whose word begins a pattern
-leave it as small rows.  Those meet the pattern table by an equi-join on the
-first word, which Spark broadcasts when the table's size allows.  The rest of
-a pattern is followed inside the array: a set of ends grows piece by piece, so
-each end is kept once however many ways lead to it.  Only matches are shuffled,
-by document, to resolve overlaps.
+A text is tokenised once into an array.  Long ones are cut into windows, each
+with the tokens that a match begun in it can reach.  Positions whose word
+begins a pattern leave a window as small rows that hold only the tokens of the
+longest pattern's span, never the text.  They meet the pattern table by an
+equi-join on the first word; the catalogue's size is checked, and up to
+``BROADCAST_WORDS`` words it is broadcast, so no text and no token is shuffled.
+The rest of a pattern is followed inside the row: a set of ends grows piece by
+piece, so each end is kept once however many ways lead to it.  Only matches are
+shuffled, by document, to resolve overlaps.
 """
 
 from __future__ import annotations
@@ -15,12 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmatch.functions.patterns import Pattern, collapsed
-from quillmatch.functions.text import tokens
+from quillmatch.functions.text import CHUNK_BYTES, tokens
 
 PIECE = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("least", T.IntegerType()), T.StructField("most", T.IntegerType())])
 PATTERNS = T.StructType([T.StructField("pattern_id", T.LongType()), T.StructField("first", T.StringType()), T.StructField("pieces", T.ArrayType(PIECE))])
 #: First words up to this many are tested in the scan itself.
 FIRST_WORDS_IN_SCAN = 20_000
+#: Words of all patterns together that are broadcast; beyond that the join is a shuffled one.
+BROADCAST_WORDS = 2_000_000
+#: Tokens of a text in which one row looks for beginnings.
+WINDOW_TOKENS = 4096
 
 
 class PatternSet:
@@ -49,8 +56,10 @@ class PatternSet:
         return max((p.span for p in self.patterns), default=0)
 
     def table(self, spark: SparkSession) -> DataFrame:
+        """Rows (pattern_id, first, pieces), marked for broadcast if they are few enough."""
         rows = [(p.pattern_id, p.pieces[0].words[0], [(list(x.words), x.least, x.most) for x in p.pieces]) for p in self.active]
-        return spark.createDataFrame(rows, PATTERNS)
+        table = spark.createDataFrame(rows, PATTERNS)
+        return F.broadcast(table) if sum(len(p.tokens) for p in self.active) <= BROADCAST_WORDS else table
 
     def first_words(self) -> list[str]:
         return sorted({p.pieces[0].words[0] for p in self.active})
@@ -73,28 +82,38 @@ def _ends(toks: Column, start: Column, pieces: Column) -> Column:
     return F.aggregate(pieces, F.array(start), grow)
 
 
-def raw_matches(docs: DataFrame, patterns: PatternSet, text: Column, *keep: str, mode: str = "file", chunk_bytes: int | None = None) -> DataFrame:
-    """Rows (keep..., start, matched, pattern_id, start_line, end_line), not resolved."""
+def raw_matches(docs: DataFrame, patterns: PatternSet, text: Column, *keep: str, mode: str = "file", chunk_bytes: int | None = CHUNK_BYTES) -> DataFrame:
+    """Rows (keep..., start, matched, pattern_id, start_line, end_line), not resolved.
+
+    In files a line is read in chunks of ``chunk_bytes``, which end a word (None: whole).
+    """
     spark = docs.sparkSession
     names = [f"`{k}`" for k in keep]
     tokenised = docs.select(*names, tokens(text, mode, chunk_bytes).alias("t")).select(*names, F.col("t.line").alias("__lines"), F.col("t.token").alias("__toks"))
-    firsts = patterns.first_words()
-    places = F.sequence(F.lit(0), F.size("__toks") - 1)
+    firsts, span = patterns.first_words(), max(1, patterns.longest_span)
+    begins = F.sequence(F.lit(0), F.size("__toks") - 1, F.lit(WINDOW_TOKENS))
     # sequence(0, -1) would count down.
-    places = F.when(F.size("__toks") > 0, places).otherwise(F.array().cast("array<int>"))
+    begins = F.when(F.size("__toks") > 0, begins).otherwise(F.array().cast("array<int>"))
+
+    def part(at: Column, n: int) -> list[Column]:
+        return [F.slice("__toks", at + 1, n).alias("__toks"), F.slice("__lines", at + 1, n).alias("__lines")]
+
+    cut = F.transform(begins, lambda b: F.struct(b.alias("__begin"), *part(b, WINDOW_TOKENS + span)))
+    windows = tokenised.select(*names, F.explode(cut).alias("w")).select(*names, "w.*")
+    places = F.sequence(F.lit(0), F.least(F.size("__toks"), F.lit(WINDOW_TOKENS)) - 1)
     if len(firsts) <= FIRST_WORDS_IN_SCAN:
         places = F.filter(places, lambda i: F.element_at(F.col("__toks"), i + 1).isin(*firsts) if firsts else F.lit(False))
-    hits = tokenised.select(*names, "__lines", "__toks", F.explode(places).alias("start"))
-    hits = hits.withColumn("first", F.element_at("__toks", F.col("start") + 1))
+    found = F.transform(places, lambda i: F.struct((F.col("__begin") + i).alias("start"), F.element_at("__toks", i + 1).alias("first"), *part(i, span)))
+    hits = windows.select(*names, F.explode(found).alias("h")).select(*names, "h.*")
     met = hits.join(patterns.table(spark), "first")
-    ended = met.select(*names, "pattern_id", "start", "__lines", F.explode(_ends(F.col("__toks"), F.col("start"), F.col("pieces"))).alias("end"))
+    ended = met.select(*names, "pattern_id", "start", "__lines", F.explode(_ends(F.col("__toks"), F.lit(0), F.col("pieces"))).alias("matched"))
     return ended.select(
         *names,
         "start",
-        (F.col("end") - F.col("start")).alias("matched"),
+        "matched",
         "pattern_id",
-        F.element_at("__lines", F.col("start") + 1).alias("start_line"),
-        F.element_at("__lines", F.col("end")).alias("end_line"),
+        F.element_at("__lines", 1).alias("start_line"),
+        F.element_at("__lines", F.col("matched")).alias("end_line"),
     )
 
 
@@ -123,6 +142,6 @@ def resolve(raw: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, F.row_number().over(order).alias("ord"), (-F.col("x.p")).alias("pattern_id"), F.col("x.start_line").alias("start_line"), F.col("x.end_line").alias("end_line"))
 
 
-def find_matches(docs: DataFrame, patterns: PatternSet, text: Column, *keep: str, mode: str = "file", chunk_bytes: int | None = None) -> DataFrame:
+def find_matches(docs: DataFrame, patterns: PatternSet, text: Column, *keep: str, mode: str = "file", chunk_bytes: int | None = CHUNK_BYTES) -> DataFrame:
     """Resolved matches of every text."""
     return resolve(raw_matches(docs, patterns, text, *keep, mode=mode, chunk_bytes=chunk_bytes), *keep)

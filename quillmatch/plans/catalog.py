@@ -8,10 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmatch.functions import text as T
-from quillmatch.functions.patterns import collapsed, parse_patterns, parse_tokens
+from quillmatch.functions.patterns import Pattern, parse_patterns, parse_tokens, words
 from quillmatch.functions.spooky import token_hash
 from quillmatch.operators import bag, distance, fingerprint, lines, match
 from quillmatch.plans import sql
+from quillmatch.sources import bag_store
+from quillmatch.sources.files import read_files
+from quillmatch.sources.index import PatternIndex
+from quillmatch.sources.scratch import fresh_folder
+from quillmatch.sources.segments import Matcher
+from quillmatch.streaming import match_stream, read_documents
 
 #: License phrases and wildcard patterns, as a catalogue would hold them.
 PATTERNS = [
@@ -102,21 +108,98 @@ def match_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_multi_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark, sf_dir, match.PatternSet([parse_patterns(PATTERNS), parse_patterns(LATER)]))
+    """Two segment files, written and attached one after the other."""
+    matcher, folder = Matcher(spark), fresh_folder(spark)
+    for name, rows in (("first.seg", PATTERNS), ("second.seg", LATER)):
+        one = Matcher(spark)
+        for i, text in rows:
+            one.add_pattern(i, parse_tokens(text))
+        if not (one.dump(f"{folder}/{name}") and matcher.verify(f"{folder}/{name}") and matcher.attach(f"{folder}/{name}")):
+            raise OSError(f"{folder}/{name} cannot be attached")
+    return _resolved(spark, sf_dir, matcher.patterns())
+
+
+def _index(spark: SparkSession) -> PatternIndex:
+    """A new index of the patterns as one segment."""
+    index = PatternIndex(spark, fresh_folder(spark))
+    index.add_segment(PATTERNS)
+    return index
 
 
 def match_tombstoned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark, sf_dir, match.PatternSet([parse_patterns(PATTERNS), parse_patterns(LATER)], TOMBSTONES))
+    """A second segment is added to the index, then some ids are hidden."""
+    index = _index(spark)
+    index.add_segment(LATER)
+    index.tombstone(*TOMBSTONES)
+    return _resolved(spark, sf_dir, index.matcher(strict=True))
 
 
 def match_readded_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Id 4 was hidden and then added again: its old and new text both match."""
-    return _resolved(spark, sf_dir, match.PatternSet([parse_patterns(PATTERNS), parse_patterns(LATER)], TOMBSTONES - {4}))
+    """Id 4 is hidden and then added again: its old and new text both match."""
+    index = _index(spark)
+    index.tombstone(4, *TOMBSTONES)
+    index.add_segment(LATER)
+    return _resolved(spark, sf_dir, index.matcher(strict=True))
 
 
 def match_after_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """After a merge only the authoritative text of id 4 is left."""
-    return _resolved(spark, sf_dir, _patterns(_merged()))
+    index = _index(spark)
+    index.tombstone(4, 9)
+    index.add_segment(LATER)
+    index.merge(_merged())
+    return _resolved(spark, sf_dir, index.matcher(strict=True))
+
+
+def index_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after every step of its life: generation, sound segments, tombstones, active patterns."""
+    index, rows = PatternIndex(spark, fresh_folder(spark)), []
+
+    def note(step: str) -> None:
+        m = index.manifest()
+        rows.append((step, index.generation, sum(index.verify(x.file) for x in m.segments), sum(x.pattern_count for x in m.segments), len(m.tombstones), len(index.matcher(strict=True).active)))
+
+    note("0 new")
+    for step, act in (
+        ("1 add", lambda: index.add_segment(PATTERNS)),
+        ("2 tombstone", lambda: index.tombstone(4, *TOMBSTONES)),
+        ("3 add", lambda: index.add_segment(LATER)),
+        ("4 nothing", lambda: (index.add_segment([(7, "***")]), index.tombstone())),
+        ("5 merge", lambda: index.merge(_merged())),
+        ("6 merge of nothing", lambda: index.merge()),
+    ):
+        act()
+        note(step)
+    return spark.createDataFrame(rows, "step string, generation long, sound long, patterns long, tombstones long, active long")
+
+
+def match_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations matched as they arrive, with the pattern set's generation."""
+    index, folder = _index(spark), fresh_folder(spark)
+    turns = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    turns.write.parquet(f"{folder}/in")
+    query = match_stream(read_documents(spark, f"{folder}/in", turns.schema), index.matcher(strict=True), f"{folder}/out", f"{folder}/state", "turn_id")
+    query.awaitTermination()
+    found = spark.read.schema("turn_id long, ord int, pattern_id long, start_line int, end_line int, generation long").parquet(f"{folder}/out")
+    return _long(found.select("turn_id", "ord", "pattern_id", "start_line", "end_line", "generation"), "ord", "start_line", "end_line")
+
+
+def files_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts written as files, read back whole and tokenised; a missing path adds nothing."""
+    folder = fresh_folder(spark)
+    _table(spark, sf_dir, "benchmark").select(F.regexp_replace("text", "\n", " ").alias("value")).write.text(folder)
+    files = read_files(spark, folder).unionByName(read_files(spark, f"{folder}/missing"))
+    found = files.select(F.explode(T.tokens(F.decode("content", "UTF-8"), "file").getField("token")).alias("token"))
+    return found.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def match_many_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of patterns: three words, one or two free ones and two more, from all places of all benchmark texts."""
+    patterns = []
+    for row in _table(spark, sf_dir, "benchmark").select("item_id", "text").orderBy("item_id").collect():
+        w = words(row["text"] or "")
+        patterns += [Pattern.of(row["item_id"] * 1000 + i + 1, [*w[i : i + 3], 2, *w[i + 4 : i + 6]]) for i in range(len(w) - 5)]
+    return _long(match.raw_matches(_docs(spark, sf_dir), match.PatternSet([patterns]), F.col("text"), "doc_id"), "start", "matched", "start_line", "end_line")
 
 
 def _merged() -> list[tuple[int, str]]:
@@ -173,6 +256,15 @@ def bag_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag.norms(vectors, "item_id").select("item_id", F.round("norm", 6).alias("norm"))
 
 
+def bag_stored_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Norms of a model that was written, checked and loaded."""
+    items, folder = _table(spark, sf_dir, "benchmark"), fresh_folder(spark)
+    weights = bag.idf(items, F.col("text"), "item_id")
+    vectors = bag.postings(items, F.col("text"), weights, "item_id")
+    bag_store.dump(spark, {"idf": weights, "postings": vectors, "norms": bag.norms(vectors, "item_id")}, folder)
+    return bag_store.load(spark, folder)["norms"].select("item_id", F.round("norm", 6).alias("norm"))
+
+
 def bag_best_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).withColumnRenamed("text", "body")
     found = bag.best_for(docs, F.col("body"), _table(spark, sf_dir, "benchmark"), F.col("text"), 3, "doc_id", "item_id")
@@ -219,7 +311,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tok_lines, tok_normalize, tok_vocab_df, tok_stats, pattern_parse, match_literal_raw, match_skip_raw, match_raw, match_resolved,
         match_multi_segment, match_tombstoned, match_readded_id, match_after_merge, license_counts_by_source, conversations_matches, pages_matches,
         read_lines_window, content_dedup, content_hash_hex, token_hashes, bag_idf, bag_norms, bag_best_for, token_distance, winnow_md5, winnow_spans,
-        winnow_spooky, segment_crc, containment_pairs,
+        winnow_spooky, segment_crc, containment_pairs, index_states, match_streamed, match_many_patterns, files_tokens, bag_stored_norms,
     )
 }
 
@@ -227,8 +319,30 @@ _TOK = sql.tokens("documents", "doc_id", "text")
 _RAW = "SELECT doc_id, start, matched, pattern_id, start_line, end_line FROM raw"
 
 
-def _raw_sql(rows: list[tuple[int, str]]) -> str:
-    return f"WITH {sql.raw_matches('documents', 'doc_id', 'text', collapsed(parse_patterns(rows)))} {_RAW}"
+#: What the patterns mean, written out by hand: runs of words, and how many free words stand before each.
+_FIRST = [
+    (1, [("licensed under the apache license version 2.0", 0, 0)]),
+    (2, [("released under the mit license", 0, 0)]),
+    (3, [("this work is licensed under the gnu general public license version 3", 0, 0)]),
+    (4, [("all rights reserved", 0, 0)]),
+    (5, [("licensed under by-nc 4.0", 0, 0)]),
+    (6, [("licensed under", 0, 0)]),
+    (7, [("gnu", 0, 0), ("license", 1, 3)]),
+    (8, [("licensed", 0, 0), ("the", 1, 2), ("license", 1, 5)]),
+    (9, [("apache license", 0, 0)]),
+    (10, [("the", 0, 0), ("and", 1, 4), ("of the", 1, 6)]),
+    (11, [("die", 0, 0), ("und", 1, 3)]),
+    (12, [("de la", 0, 0)]),
+    (13, [("mit $skip license", 0, 0)]),
+]
+_SECOND = [(14, [("apache license", 0, 0)]), (4, [("rights reserved", 0, 0)]), (15, [("version", 0, 0), ("0", 1, 2)]), (16, [("est", 0, 0), ("pour", 1, 9)])]
+_BOTH = _FIRST + _SECOND
+#: After the merge 14, added later, stands for 9, which is the same sequence.
+_MERGED = [p for p in _FIRST if p[0] not in (4, 9)] + _SECOND
+
+
+def _raw_sql(patterns: list) -> str:
+    return f"WITH {sql.raw_matches('documents', 'doc_id', 'text', patterns)} {_RAW}"
 
 
 def _best_sql(patterns: list, table: str = "documents", key: str = "doc_id", text: str = "text", end: str = "") -> str:
@@ -236,8 +350,6 @@ def _best_sql(patterns: list, table: str = "documents", key: str = "doc_id", tex
     return f"WITH {sql.raw_matches(table, key, text, patterns)}, {sql.resolved(key)} {end}"
 
 
-_FIRST = collapsed(parse_patterns(PATTERNS))
-_BOTH = _FIRST + collapsed(parse_patterns(LATER))
 _BAG = f"""
     bw AS (SELECT item_id, unnest(list_distinct({sql.words("text")})) AS token FROM benchmark),
     idf AS (SELECT token, count(*) AS df, ln((SELECT count(*) FROM benchmark) / count(*)) AS idf FROM bw GROUP BY token),
@@ -273,24 +385,48 @@ ORACLE_SQL: dict[str, str] = {
         w AS (SELECT pattern_id, {sql.words("text")} AS w FROM p),
         t AS (SELECT pattern_id, list_transform(w, lambda t: CASE WHEN regexp_full_match(t, '\\$skip[0-9]{{1,2}}') THEN substr(t, 6) ELSE t END) AS w FROM w)
         SELECT pattern_id, sum(len(w))::BIGINT AS n_tokens, max(list_max(w)) AS last_word FROM t GROUP BY pattern_id""",
-    "match_literal_raw": _raw_sql([r for r in PATTERNS if "$SKIP" not in r[1]]),
-    "match_skip_raw": _raw_sql([r for r in PATTERNS if "$SKIP" in r[1]]),
-    "match_raw": _raw_sql(PATTERNS),
+    "match_literal_raw": _raw_sql([p for p in _FIRST if len(p[1]) == 1 and p[0] != 13]),
+    "match_skip_raw": _raw_sql([p for p in _FIRST if len(p[1]) > 1 or p[0] == 13]),
+    "match_raw": _raw_sql(_FIRST),
     "match_resolved": _best_sql(_FIRST),
     "match_multi_segment": _best_sql(_BOTH),
-    "match_tombstoned": _best_sql([p for p in _BOTH if p.pattern_id not in TOMBSTONES]),
-    "match_readded_id": _best_sql([p for p in _BOTH if p.pattern_id not in TOMBSTONES - {4}]),
-    "match_after_merge": _best_sql(collapsed(parse_patterns(_merged()))),
+    "match_tombstoned": _best_sql([p for p in _BOTH if p[0] not in (6, 9, 12)]),
+    "match_readded_id": _best_sql([p for p in _BOTH if p[0] not in (6, 9, 12)]),
+    "match_after_merge": _best_sql(_MERGED),
     "license_counts_by_source": _best_sql(_FIRST, end="SELECT source, pattern_id, count(*) AS n_matches, count(DISTINCT doc_id) AS n_docs FROM best JOIN documents USING (doc_id) GROUP BY source, pattern_id"),
     "conversations_matches": _best_sql(_FIRST, "(SELECT conv_id * 1000000 + turn AS k, text FROM conversations)", "k", end="SELECT k // 1000000 AS conv_id, k % 1000000 AS turn, ord, pattern_id, start_line, end_line FROM best"),
     "pages_matches": _best_sql(_FIRST, "pages", "page_id", "html"),
+    "match_streamed": _best_sql(
+        _FIRST, "(SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations)", "turn_id", end="SELECT turn_id, ord, pattern_id, start_line, end_line, 1::BIGINT AS generation FROM best"
+    ),
+    "match_many_patterns": f"""
+        WITH {sql.raw_matches("documents", "doc_id", "text", f'''
+            given AS (SELECT item_id, {sql.words("text")} AS w FROM benchmark),
+            places AS (SELECT item_id, w, unnest(range(0, len(w) - 5)) AS i FROM given),
+            whole AS (SELECT max(item_id * 1000 + i + 1)::BIGINT AS pattern_id, w[i + 1 : i + 3] AS a, w[i + 5 : i + 6] AS b FROM places GROUP BY a, b),
+            piece(pattern_id, n, nth, words, least, most) AS (SELECT pattern_id, 2, 0, a, 0, 0 FROM whole UNION ALL SELECT pattern_id, 2, 1, b, 1, 2 FROM whole)''')}
+        {_RAW}""",
+    "index_states": """
+        SELECT * FROM (VALUES ('0 new', 0, 0, 0, 0, 0), ('1 add', 1, 1, 13, 0, 13), ('2 tombstone', 2, 1, 13, 4, 9), ('3 add', 3, 2, 17, 3, 14),
+                              ('4 nothing', 3, 2, 17, 3, 14), ('5 merge', 4, 1, 16, 0, 15), ('6 merge of nothing', 5, 1, 0, 0, 0))
+            AS t(step, generation, sound, patterns, tombstones, active)""",
+    "files_tokens": f"SELECT token, count(*) AS n FROM (SELECT unnest({sql.words('text')}) AS token FROM benchmark) GROUP BY token",
+    "token_distance": f"""
+        WITH t AS (SELECT conv_id, turn, {sql.words("text")} AS w FROM conversations),
+        p AS (SELECT conv_id, turn, w[1 : len(w) - 1] AS y, lag(w[1 : len(w) - 1]) OVER (PARTITION BY conv_id ORDER BY turn) AS x FROM t),
+        c AS (SELECT conv_id, turn, range(0, len(y) + 1) AS start, list_transform(x, lambda t: list_transform(y, lambda u: (t <> u)::BIGINT)) AS costs FROM p WHERE x IS NOT NULL)
+        SELECT conv_id, turn,
+               list_reduce(costs, lambda row, cost: list_reduce(list_transform(range(1, len(row)), lambda j: [least(row[j + 1] + 1, row[j] + cost[j])]),
+                           lambda done, best: list_concat(done, [least(done[-1] + 1, best[1])]), [row[1] + 1]), start)[-1]::BIGINT AS edits
+        FROM c""",
     "read_lines_window": _best_sql(
-        collapsed(parse_patterns(PATTERNS[:5])),
+        _FIRST[:5],
         end="SELECT b.doc_id, b.line, b.value, l.text FROM (SELECT doc_id, start_line AS line, max(pattern_id) AS value FROM best GROUP BY doc_id, start_line) b JOIN lines l ON l.doc_id = b.doc_id AND l.line = b.line",
     ),
     "content_dedup": "SELECT min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY md5(text)",
     "bag_idf": f"WITH {_BAG} SELECT token, df, round(idf, 6) AS idf FROM idf",
     "bag_norms": f"WITH {_BAG} SELECT item_id, round(norm, 6) AS norm FROM norm",
+    "bag_stored_norms": f"WITH {_BAG} SELECT item_id, round(norm, 6) AS norm FROM norm",
     "bag_best_for": f"""
         WITH {_BAG},
         q AS (SELECT doc_id, token, idf FROM (SELECT doc_id, unnest(list_distinct({sql.words("text")})) AS token FROM documents) JOIN idf USING (token)),

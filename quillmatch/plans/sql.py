@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from quillmatch.functions.patterns import Pattern
-from quillmatch.functions.text import SEPARATORS, STOP_WORDS
+from quillmatch.functions.text import CHUNK_BYTES, SEPARATORS, STOP_WORDS
 
 
 def quoted(text: str) -> str:
@@ -17,28 +16,36 @@ def words(text: str) -> str:
     return f"list_filter({bare}, lambda t: regexp_matches(t, '[a-z0-9]') AND t NOT IN ({', '.join(map(quoted, STOP_WORDS))}))"
 
 
-def tokens(table: str, key: str, text: str) -> str:
+def chunks(text: str) -> str:
+    """List of a line's chunks; beyond ASCII every byte of a character is a blank."""
+    bare = f"regexp_replace(regexp_replace(regexp_replace({text}, '[\\x{{80}}-\\x{{7ff}}]', '  ', 'g'), '[\\x{{800}}-\\x{{ffff}}]', '   ', 'g'), '[\\x{{10000}}-\\x{{10ffff}}]', '    ', 'g')"
+    return f"list_transform(range(0, greatest(len({bare}), 1), {CHUNK_BYTES}), lambda i: substr({bare}, i + 1, {CHUNK_BYTES}))"
+
+
+def tokens(table: str, key: str, text: str, chunked: bool = False) -> str:
     """CTEs ``lines`` (key, line, text) and ``tok`` (key, line, pos, token)."""
+    found = f"flatten(list_transform({chunks('text')}, lambda c: {words('c')}))" if chunked else words("text")
     return f"""
         lines AS (SELECT {key}, unnest(string_split({text}, chr(10))) AS text, generate_subscripts(string_split({text}, chr(10)), 1) AS line FROM {table}),
-        found AS (SELECT {key}, line, {words("text")} AS w FROM lines),
+        found AS (SELECT {key}, line, {found} AS w FROM lines),
         flat AS (SELECT {key}, line, unnest(w) AS token, generate_subscripts(w, 1) AS k FROM found),
         tok AS (SELECT {key}, line, row_number() OVER (PARTITION BY {key} ORDER BY line, k) - 1 AS pos, token FROM flat)"""
 
 
-def pieces(patterns: list[Pattern]) -> str:
-    """CTE ``piece`` (pattern_id, n, at, words, least, most)."""
-    rows = []
-    for p in patterns:
-        for at, x in enumerate(p.pieces):
-            rows.append(f"({p.pattern_id}::BIGINT, {len(p.pieces)}, {at}, [{', '.join(map(quoted, x.words))}], {x.least}, {x.most})")
+def pieces(patterns: list[tuple[int, list[tuple[str, int, int]]]]) -> str:
+    """CTE ``piece`` (pattern_id, n, at, words, least, most) of patterns (id, [(words, least, most), ...])."""
+    rows = [
+        f"({i}::BIGINT, {len(parts)}, {at}, [{', '.join(map(quoted, run.split()))}], {least}, {most})"
+        for i, parts in patterns
+        for at, (run, least, most) in enumerate(parts)
+    ]
     return f"piece(pattern_id, n, nth, words, least, most) AS (VALUES {', '.join(rows)})"
 
 
-def raw_matches(table: str, key: str, text: str, patterns: list[Pattern]) -> str:
-    """CTE ``raw`` (key, start, matched, pattern_id, start_line, end_line)."""
-    return f"""RECURSIVE {tokens(table, key, text)},
-        {pieces(patterns)},
+def raw_matches(table: str, key: str, text: str, patterns: list[tuple[int, list]] | str) -> str:
+    """CTE ``raw`` (key, start, matched, pattern_id, start_line, end_line); patterns as rows or as CTEs up to ``piece``."""
+    return f"""RECURSIVE {tokens(table, key, text, True)},
+        {patterns if isinstance(patterns, str) else pieces(patterns)},
         docs AS (SELECT {key}, list(token ORDER BY pos) AS toks, list(line ORDER BY pos) AS nums FROM tok GROUP BY {key}),
         hit AS (
             SELECT t.{key}, p.pattern_id, p.n, p.nth, p.least, p.most, t.pos AS b, t.pos + len(p.words) AS e

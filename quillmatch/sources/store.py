@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -49,6 +51,19 @@ class Store:
             stream.close()
         return True
 
+    def claim(self, name: str, data: bytes) -> bool:
+        """As ``create``, but exactly one of several claimants succeeds."""
+        if self._fs.getScheme() != "file":
+            return self.create(name, data)
+        # Hadoop's local file system looks first and creates later.
+        try:
+            handle = os.open(self._path(name).toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+        except FileExistsError:
+            return False
+        with os.fdopen(handle, "wb") as f:
+            f.write(data)
+        return True
+
     def replace(self, name: str, data: bytes) -> None:
         """Write beside the file, then rename over it; the temporary never stays."""
         temporary = f"{name}.tmp.{self._jvm.java.util.UUID.randomUUID().toString()}"
@@ -63,4 +78,14 @@ class Store:
             self.delete(temporary)
 
     def delete(self, name: str) -> None:
-        self._fs.delete(self._path(name), False)
+        """Delete a file, or a folder with all it holds."""
+        self._fs.delete(self._path(name), True)
+
+    def move(self, name: str, to: str) -> bool:
+        """Rename a file to a name that is free; False if it is gone."""
+        try:
+            return bool(self._fs.rename(self._path(name), self._path(to)))
+        except Exception:
+            if self.exists(name):
+                raise
+            return False

@@ -1,6 +1,7 @@
 """Matching against a plain search, resolution against a plain greedy loop."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,52 @@ def test_random_streams_against_plain_search(spark):
     assert best == {k: v for k, v in expected.items() if v}
 
 
+def test_no_text_is_shuffled_or_broadcast(spark):
+    docs = spark.createDataFrame([(i, "licensed under the gnu license " * 3) for i in range(40)], "doc_id int, text string").repartition(6)
+    docs = docs.checkpoint() if spark.sparkContext.getCheckpointDir() else docs.cache()
+    patterns = match.PatternSet([parse_patterns([(1, "licensed under"), (2, "gnu $SKIP3 license")])])
+    found = match.raw_matches(docs, patterns, F.col("text"), "doc_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert re.findall(r"BroadcastHashJoin .*, (Build\w+)", plan) == ["BuildRight"]
+    assert not re.search(r"BroadcastExchange[^\n]*\n[^\n]*__toks", plan)
+
+
+def test_texts_longer_than_a_window(spark, monkeypatch):
+    monkeypatch.setattr(match, "WINDOW_TOKENS", 8)
+    text = "one two three four five six seven\n" * 30
+    patterns = [(1, "six seven one two"), (2, "seven $SKIP9 seven"), (3, "one $SKIP20 four $SKIP9 two"), (4, "five")]
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string")
+    small = sorted(map(tuple, match.raw_matches(docs, match.PatternSet([parse_patterns(patterns)]), F.col("text"), "doc_id").collect()))
+    monkeypatch.setattr(match, "WINDOW_TOKENS", 4096)
+    whole = sorted(map(tuple, match.raw_matches(docs, match.PatternSet([parse_patterns(patterns)]), F.col("text"), "doc_id").collect()))
+    assert small == whole and len(whole) > 100
+
+
+def test_long_lines_are_read_in_chunks(spark):
+    text = "x" * 7990 + " alpha bravo\n" + "y " * 3990 + "alpha bravo"
+    for chunk, expected in ((match.CHUNK_BYTES, [(1, 2, 2)]), (None, [(1, 2, 2), (1, 1, 1)])):
+        assert sorted(found(spark, [(1, "alpha bravo")], text, chunk_bytes=chunk)) == sorted(expected)
+
+
+def test_thousands_of_patterns_in_a_long_file(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(400)]
+    patterns = [(i, f"{rng.choice(vocab)} {rng.choice(vocab)} $SKIP{rng.randrange(1, 30)} {rng.choice(vocab)}") for i in range(1, 5001)]
+    words = [rng.choice(vocab) for _ in range(230_000)]
+    docs = spark.createDataFrame([(1, "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12)))], "doc_id int, text string")
+    active = match.PatternSet([parse_patterns(patterns)])
+    got = {(r.start, r.matched, r.pattern_id) for r in match.raw_matches(docs, active, F.col("text"), "doc_id").collect()}
+    begins = {}
+    for i in range(len(words) - 1):
+        begins.setdefault((words[i], words[i + 1]), []).append(i)
+    expected = set()
+    for p in {p.tokens: p for p in active.active}.values():
+        for i in begins.get(p.tokens[:2], []):
+            expected |= {(i, e + 1 - i, p.pattern_id) for e in range(i + 3, min(i + 3 + p.tokens[2], len(words))) if words[e] == p.tokens[3]}
+    assert got == expected and len(got) > 200
+
+
 def test_segments_collapse_before_tombstones():
     one = [Pattern.of(1, ["x"]), Pattern.of(2, ["x"])]
     assert [p.pattern_id for p in match.PatternSet([one]).active] == [2]
