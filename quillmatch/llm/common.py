@@ -2,46 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmatch.sources.scratch import fresh_folder, shared_folder
+from quillmatch.sources.store import Store
+
 #: One white-space rule for every word count: space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one named in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is made and used for checkpoints too.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmatch-"))
-    return named or sc.getCheckpointDir()
-
-
 def pinned(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder now and cut its lineage there."""
-    shared_folder(df.sparkSession)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Unlike :func:`pinned` the copy is columnar, which suits whole documents.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/quillmatch-{uuid.uuid4().hex}"
+    path = folder or fresh_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that :func:`stored` wrote and nothing reads any more."""
+    Store(spark, folder).delete("")
+
+
 #: Rows of a narrow table (a few numbers or short strings each) that are broadcast at most.
 BROADCAST_ROWS = 200_000
 

@@ -2,19 +2,24 @@
 
 A source of weight w shares a word budget; its target stops at ``max_copies``
 times its own words and the excess goes to the others by weight until no
-source is above.  With ratio r = target / words of the source every document
-gets floor(r) certain whole copies; the fraction p = r - floor(r) is its
-inclusion probability for one more.  Documents are ranked by their random odds
-over their inclusion odds, q = [u/(1-u)] / [p/(1-p)], and taken in that order
-until the source's remaining words are filled, so the sample's size in words
-is fixed up to one document.
+source is above.  Inside a source every document has its own expected number of
+copies: a level times the bits of its size (a text of 1000 words has ten bits,
+one of three words has two, so scraps come less often than articles),
+``max_copies`` at most, the level being the one at which the expected words are
+the source's target.  The whole part of that number are certain copies; the
+fraction p is the document's inclusion probability for one more.  Documents are
+ranked by their random odds over their inclusion odds, q = [u/(1-u)] /
+[p/(1-p)], and taken in that order until the source's remaining words are
+filled, so the sample's size in words is fixed up to one document.
 
 No source is ever sorted in one task.  The rank is cut by a histogram: v =
 q/(1+q) falls into one of ``RANK_CELLS`` cells, words are summed by (source,
 span of cells), then by the cells of the span that holds the cut, and only the
 documents of the cut's own cell are ordered.
 
-Defined cases: null or blank text has size 0; a null source is a source of its
+Levels come from sums by (source, bits), at most 64 rows for each source.
+
+Defined cases: null or blank text has size 0 and is never taken; a null source is a source of its
 own, ranked last; equal rows are exchangeable and the cut may fall between
 them; a source without words has target 0; an empty table gives none.
 """
@@ -46,6 +51,11 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**48))
 
 
+def bits(size: Column) -> Column:
+    """Binary digits of a size, 0 for 0: what a document's expected copies are in proportion to."""
+    return F.when(size > 0, F.length(F.bin(size))).otherwise(0)
+
+
 def source_ranks(sources: DataFrame) -> DataFrame:
     """``sources`` (one row each, column ``source``) with their rank from 0.
 
@@ -88,19 +98,41 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, budget_share: float =
     return ranked.select("source", "words", F.when(share > top, top).otherwise(share).alias("target"))
 
 
+def _levels(sized: DataFrame, goals: DataFrame, max_copies: int) -> DataFrame:
+    """Rows (source, words, target, bits, inside, whole, p): expected copies of each size class of a source."""
+    classes = sized.groupBy("source", bits(F.col("size")).alias("bits")).agg(F.sum("size").alias("inside")).filter("bits > 0")
+    goals = goals.toDF("__g", "words", "target")
+    met = classes.join(if_small(goals), F.col("source").eqNullSafe(F.col("__g"))).drop("__g")
+    up = Window.partitionBy("source").orderBy("bits")
+    down = Window.partitionBy("source").orderBy(F.col("bits").desc())
+    # The level if all classes of more bits have max_copies and the others are below that.
+    above = F.coalesce(F.sum("inside").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    free = F.sum(F.col("inside") * F.col("bits")).over(up.rowsBetween(Window.unboundedPreceding, 0))
+    met = met.withColumn("level", (F.col("target") - F.lit(float(max_copies)) * above) / free)
+    fits = F.when(F.col("level") * F.col("bits") <= max_copies, F.struct("bits", "level"))
+    met = met.withColumn("level", F.max(fits).over(Window.partitionBy("source"))["level"])
+    copies = F.least(F.lit(float(max_copies)), F.coalesce(F.col("level") * F.col("bits"), F.lit(float(max_copies))))
+    return met.withColumn("copies", copies).select("source", "words", "target", "bits", "inside", F.floor("copies").alias("whole"), (F.col("copies") - F.floor("copies")).alias("p"))
+
+
 def _schedule(sized: DataFrame, weights: tuple, budget_share: float, max_copies: int, seed: str) -> DataFrame:
-    """One row per source: its words and target, and where its ranking is cut."""
-    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("words")), weights, budget_share, max_copies)
-    ratio = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(0.0)
-    goals = goals.withColumns({"whole": F.floor(ratio), "p": ratio - F.floor(ratio)}).withColumn("rest", F.col("target") - F.col("whole") * F.col("words"))
-    goals = pinned(goals.toDF(*[f"__{c}" for c in goals.columns]))
-    ranked = _ranked(sized, goals, F.col("doc_id"), F.col("source"), seed)
+    """One row per source and size class: words, target, copies, and where the source's ranking is cut.
+
+    Sources without words have no class and no row.
+    """
+    goals = pinned(targets(sized.groupBy("source").agg(F.sum("size").alias("words")), weights, budget_share, max_copies))
+    classes = _levels(sized, goals, max_copies)
+    rest = F.col("target") - F.sum(F.col("whole") * F.col("inside")).over(Window.partitionBy("source"))
+    classes = pinned(classes.withColumn("rest", rest).toDF(*[f"__{c}" for c in [*classes.columns, "rest"]]))
+    ranked = _ranked(sized, classes, F.col("doc_id"), F.col("source"), F.col("size"), seed)
     ranked = pinned(ranked.filter("__q is not null").select("__source", "__rest", "size", "__cell"))
     wide = ranked.withColumn("__span", F.floor(F.col("__cell") / SPAN_CELLS)).withColumn("__before", F.lit(0).cast("long"))
     spans = _cut(wide, "__span").select(F.col("__source").alias("__s"), F.col("__span").alias("__t"), "__before")
     inside = wide.drop("__before").join(spans, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__span") == F.col("__t")))
     cuts = _cut(inside, "__cell").select(F.col("__source").alias("__cut_source"), F.col("__cell").alias("__cut"), "__before")
-    return pinned(goals.join(cuts, F.col("__source").eqNullSafe(F.col("__cut_source")), "left").drop("__cut_source"))
+    classes = classes.join(cuts, F.col("__source").eqNullSafe(F.col("__cut_source")), "left").drop("__cut_source")
+    blank = goals.select(F.col("source").alias("__source"), F.col("words").alias("__words"), F.col("target").alias("__target"), F.lit(0).alias("__bits"), F.lit(0).cast("long").alias("__whole"), F.lit(0.0).alias("__p"))
+    return pinned(classes.unionByName(blank, allowMissingColumns=True))
 
 
 def _cut(rows: DataFrame, cell: str) -> DataFrame:
@@ -111,11 +143,11 @@ def _cut(rows: DataFrame, cell: str) -> DataFrame:
     return cells.filter((F.col("__before") <= F.col("__rest")) & (F.col("__filled") > F.col("__rest")))
 
 
-def _ranked(rows: DataFrame, schedule: DataFrame, doc_id: Column, source: Column, seed: str) -> DataFrame:
-    """``rows`` with their source's schedule, ``__q`` and its histogram cell."""
+def _ranked(rows: DataFrame, schedule: DataFrame, doc_id: Column, source: Column, size: Column, seed: str) -> DataFrame:
+    """``rows`` with the schedule of their source and size class, ``__q`` and its histogram cell."""
     u = uniform(doc_id, seed)
     odds = (u / (1 - u)) / (F.col("__p") / (1 - F.col("__p")))
-    met = rows.join(if_small(schedule), source.eqNullSafe(F.col("__source"))).withColumn("__q", F.when(F.col("__p") > 0, odds))
+    met = rows.join(if_small(schedule), source.eqNullSafe(F.col("__source")) & (bits(size) == F.col("__bits"))).withColumn("__q", F.when(F.col("__p") > 0, odds))
     return met.withColumn("__cell", F.floor(F.col("__q") / (1 + F.col("__q")) * F.lit(float(RANK_CELLS))).cast("int"))
 
 
@@ -148,7 +180,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """Rows (doc_id, source, size, source_size, target, copies): one per row of ``docs``."""
     sized = _sized(docs, id_col, text_col, source_col)
     schedule = _schedule(sized, weights, budget_share, max_copies, seed)
-    plain, cut = _split(_ranked(sized, schedule, F.col("doc_id"), F.col("source"), seed))
+    plain, cut = _split(_ranked(sized, schedule, F.col("doc_id"), F.col("source"), F.col("size"), seed))
     columns = ["doc_id", "source", "size", F.col("__words").alias("source_size"), F.col("__target").alias("target")]
     cut = _cut_cells(cut).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m"))))
     cut = cut.withColumn("__copies", F.col("__whole") + F.when(F.col("__copy") <= F.col("__fits"), 1).otherwise(0))
@@ -165,7 +197,7 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     own, (id_name, text, source_name) = positional(docs, id_col, text_col, source_col)
     doc_id, source = F.col(id_name), F.col(source_name)
     rows = own.withColumn("__size", word_count(F.col(text)))
-    plain, cut = _split(_ranked(rows, schedule, doc_id, source, seed))
+    plain, cut = _split(_ranked(rows, schedule, doc_id, source, F.col("__size"), seed))
     fits = _cut_cells(cut.select(doc_id.alias("doc_id"), source.alias("source"), F.col("__size").alias("size"), "__words", "__target", "__whole", "__q", "__rest", "__before"))
     fits = fits.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__m", "__fits")
     met = cut.join(fits, doc_id.eqNullSafe(F.col("__i")) & source.eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")))

@@ -133,12 +133,19 @@ ORACLE_SQL = {
             FROM w),
         c AS (SELECT (budget - fixed) / free AS level FROM p WHERE weight * ((budget - fixed) / free) <= top ORDER BY k LIMIT 1),
         t AS (SELECT source, words, CASE WHEN weight * level > top THEN top ELSE weight * level END AS target FROM p, c),
-        h AS (SELECT *, CASE WHEN words > 0 THEN target / words ELSE 0.0::DOUBLE END AS ratio FROM t),
-        g AS (SELECT *, floor(ratio)::BIGINT AS whole, ratio - floor(ratio) AS pi, target - floor(ratio) * words AS rest FROM h),
+        b AS (SELECT source, len(bin(size)) AS bits, sum(size)::BIGINT AS inside FROM d WHERE size > 0 GROUP BY ALL),
+        f AS (
+            SELECT b.*, t.words, t.target,
+                   (t.target - 2.0::DOUBLE * coalesce(sum(inside) OVER (PARTITION BY b.source ORDER BY bits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+                   / sum(inside * bits) OVER (PARTITION BY b.source ORDER BY bits ROWS UNBOUNDED PRECEDING)::DOUBLE AS own
+            FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
+        v AS (SELECT source, arg_max(own, bits) FILTER (WHERE own * bits <= 2) AS level FROM f GROUP BY source),
+        e AS (SELECT f.*, least(2.0::DOUBLE, coalesce(level * bits, 2.0::DOUBLE)) AS copies FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source),
+        g AS (SELECT *, floor(copies)::BIGINT AS whole, copies - floor(copies) AS pi, target - sum(floor(copies)::BIGINT * inside) OVER (PARTITION BY source) AS rest FROM e),
         j AS (
-            SELECT d.doc_id, d.source, d.size, g.words, g.target, g.whole, g.pi, g.rest,
+            SELECT d.doc_id, d.source, d.size, t.words, t.target, coalesce(g.whole, 0) AS whole, g.rest,
                    CASE WHEN pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS q
-            FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.size > 0 AND len(bin(d.size)) = g.bits),
         o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) - size AS start FROM j)
         SELECT doc_id, size, words AS source_size, target,
                (size * (whole + CASE WHEN q IS NULL OR start > rest THEN 0 WHEN size = 0 THEN 1 WHEN (rest - start) / size >= 0.5 THEN 1 ELSE 0 END))::BIGINT AS taken

@@ -65,6 +65,37 @@ def test_mix_rows_take_what_the_plan_says(spark, corpus):
     assert taken == {d: n for d, n in plan.items() if n}
 
 
+def plain_copies(sizes, target, most=2):
+    """Expected copies in proportion to the bits of a size, up to ``most``, that give the target: by bisection."""
+    low, high = 0.0, 2.0 * most
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(most, level * n.bit_length()) * n for n in sizes) < target:
+            low = level
+        else:
+            high = level
+    return [min(most, low * n.bit_length()) for n in sizes]
+
+
+def test_inclusion_rates_are_those_of_each_document(spark):
+    """The same forty documents in 300 sources: ids differ, so do the random odds."""
+    rng = random.Random(9)
+    sizes = [rng.choice([1, 2, 3, 5, 9, 17, 33, 60, 90]) for _ in range(40)]
+    rows = [(1000 * s + k, "w " * n, f"s{s:03d}") for s in range(300) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share in (0.4, 1.5):
+        taken = [0] * len(sizes)
+        for r in mixing.mix_plan(df, weights=(1.0,), budget_share=share).select("doc_id", "copies").collect():
+            taken[r.doc_id % 1000] += r.copies
+        wanted = plain_copies(sizes, share * sum(sizes))
+        rates = [n / 300 for n in taken]
+        assert max(abs(a - b) for a, b in zip(rates, wanted, strict=True)) < 0.12
+        for n in set(sizes):
+            own = [k for k, m in enumerate(sizes) if m == n]
+            assert sum(rates[k] for k in own) / len(own) == pytest.approx(wanted[own[0]], abs=0.05)
+        assert max(wanted) - min(wanted) > 0.3
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_plan(df).count() == 0 and mixing.mix_rows(df).count() == 0
