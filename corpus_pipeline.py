@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmatch.llm import bpe, exact_dedup, langid, mixing, simhash
-from quillmatch.llm.common import stored
+from quillmatch.llm.common import discard, stored
 from quillmatch.llm.queries import word_bpe_path
+from quillmatch.sources.scratch import fresh_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole ``documents`` table; a stage's rows are deleted once the next one's are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        folder = fresh_folder(spark)
+        docs = stored(stage(spark, docs, sf_dir), folder)
+        if before:
+            discard(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
