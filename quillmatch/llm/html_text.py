@@ -8,12 +8,20 @@ per tag adjusted for links:
 
 The content is the block whose children's densities have the greatest sum.
 The least density on its path to the body is a threshold: blocks beside that
-path which reach it belong to the content too.  An article (or else main) element
-around the block stands for it, so the whole element belongs to the content.  Parts that say what they
-are by element, role, class or id (menus, headers, footers, sidebars, notices,
-adverts, forms, comments) never count and never come out; a form that holds
-most of the page is no such part, nor are headings, sections and paragraphs
-for words that a text's own parts are named by (``AMBIGUOUS``).
+path which reach it belong to the content too, and so do headings beside the
+path in front of it.  An article or main element around the block settles how
+far up the content reaches, if what it adds is not mostly links.
+
+Menus, page headers, footers, sidebars and form controls drop out by their
+elements and roles.  A header inside an article that holds a heading is the
+article's own, and a form that holds most of the page is no form.  Words of a
+class or id only vote: a block that names itself a notice, an advert or the
+like drops out unless it wraps the article, or holds most of the text of a page
+that has its article in it or none and is not mostly links; words behind "with", "has", "no" and so on tell of
+another block and do not count; headings, sections and paragraphs are not
+dropped for words that a text's own parts are named by (``AMBIGUOUS``).  Reader
+comments, adverts and consent notices (``NEVER_TEXT``) drop out whatever their
+size.
 
 Defined cases: a null or blank page gives an empty text; unclosed and
 wrongly nested elements are closed as browsers close them; a page without tags
@@ -50,10 +58,17 @@ NAMES = frozenset(
 AMBIGUOUS = frozenset("alert discussion foot login notice notices promotion reactions related recommendations recommended replies reply respond share sharing signup skip social subscription trending".split())
 OWN_PARTS = frozenset("h1 h2 h3 h4 h5 h6 section p".split())
 KEPT_WHOLE = frozenset("html body main article".split())
+#: Names of what is no part of the text, however long it is.
+NEVER_TEXT = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot comment comments commentlist disqus reply replies respond cookie cookies consent gdpr".split())
+#: Words that say a name is about another block.
+ABOUT_OTHERS = frozenset("with without has have no not is if hide show".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of link characters beyond which a block is a list of links.
+LINK_SHARE = 0.5
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BLANK = re.compile(r"\S")
 
@@ -62,7 +77,8 @@ class Page:
     """The tree of one page: parallel lists, parents before children."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.named = ["html"], [-1], [False]
+        #: ``named``: 0 for no telling name, 1 for one, 2 for one of ``NEVER_TEXT`` or for a hidden block.
+        self.tag, self.parent, self.named = ["html"], [-1], [0]
         self.events: list[tuple] = [(0, None)]  # (node, text), (node, None) opens, (~node, None) closes
         self._stack = [0]
         self._open: Counter[str] = Counter(["html"])
@@ -160,9 +176,7 @@ class Page:
             self._close_if_open(("option",), frozenset(("select",)))
         self.tag.append(name)
         self.parent.append(self._stack[-1])
-        self.named.append(bool(inside.strip()) and name not in KEPT_WHOLE and self._says_other(name, inside))
-        if name == "article" and inside and self._is_comment(inside):
-            self.named[-1] = True
+        self.named.append(self._says_other(name, inside) if inside.strip() else 0)
         self._stack.append(len(self.tag) - 1)
         self._open[name] += 1
         self.events.append((self._stack[-1], None))
@@ -176,23 +190,28 @@ class Page:
     @staticmethod
     def _words(inside: str) -> tuple[set[str], str, bool]:
         words: set[str] = set()
-        role, hidden = "", bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", inside))
+        role, hidden = "", False
         for m in _ATTRIBUTE.finditer(inside):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                words.update(x.lower() for x in _PARTS.findall(value))
+                for name in value.split():
+                    parts = [x.lower() for x in _PARTS.findall(name)]
+                    if parts and parts[0] not in ABOUT_OTHERS:
+                        words.update(parts)
             elif key == "role":
                 role = value.strip().lower()
-            elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 hidden = True
         return words, role, hidden
 
-    def _says_other(self, name: str, inside: str) -> bool:
+    def _says_other(self, name: str, inside: str) -> int:
         words, role, hidden = self._words(inside)
-        return hidden or role in ROLES or not words.isdisjoint(NAMES - AMBIGUOUS if name in OWN_PARTS else NAMES)
-
-    def _is_comment(self, inside: str) -> bool:
-        return not self._words(inside)[0].isdisjoint(("comment", "comments", "reply", "replies"))
+        if hidden and name not in ("html", "body"):
+            return 2
+        if name in KEPT_WHOLE:
+            return 2 * (name == "article" and not words.isdisjoint(NEVER_TEXT))
+        telling = words & (NAMES - AMBIGUOUS if name in OWN_PARTS else NAMES)
+        return 2 if telling & NEVER_TEXT else int(bool(telling) or role in ROLES)
 
 
 def _density(c: int, t: int, lc: int, lt: int, body: float) -> float:
@@ -203,48 +222,59 @@ def _density(c: int, t: int, lc: int, lt: int, body: float) -> float:
     return c / t * log(max(c / lc1 * t / lt, 1.0 + 1e-9)) / log(max(base, 1.0 + 1e-9)) if base > 1 + 1e-9 else float(c) / t
 
 
+class Measures:
+    """Characters, tags, link characters and link tags below every node, and the densities they give."""
+
+    def __init__(self, page: Page, skip: list[bool]):
+        tag, parent = page.tag, page.parent
+        n = len(tag)
+        self.c, self.t, self.lc, self.lt = [0] * n, [0] * n, [0] * n, [0] * n
+        c, t, lc, lt = self.c, self.t, self.lc, self.lt
+        in_link = [False] * n
+        for i in range(1, n):
+            in_link[i] = in_link[parent[i]] or tag[i] == "a"
+        for node, text in page.events:
+            if text is not None and not skip[node]:
+                size = len("".join(text.split()))
+                c[node] += size
+                if in_link[node]:
+                    lc[node] += size
+        for i in range(n - 1, 0, -1):
+            if not skip[i]:
+                p = parent[i]
+                c[p] += c[i]
+                lc[p] += lc[i]
+                t[p] += t[i] + 1
+                lt[p] += lt[i] + (tag[i] == "a")
+        self.body = next((i for i in range(n) if tag[i] == "body" and not skip[i]), 0)
+        share = lc[self.body] / max(c[self.body], 1)
+        self.density = [0.0 if skip[i] else _density(c[i], t[i], lc[i], lt[i], share) for i in range(n)]
+        self.total = [0.0] * n
+        for i in range(1, n):
+            self.total[parent[i]] += self.density[i]
+
+
 def _chosen(page: Page, skip: list[bool]) -> set[int]:
     """Nodes whose subtrees are the content."""
     tag, parent = page.tag, page.parent
-    n = len(tag)
-    c, t, lc, lt = [0] * n, [0] * n, [0] * n, [0] * n
-    in_link = [False] * n
-    for i in range(1, n):
-        in_link[i] = in_link[parent[i]] or tag[i] == "a"
-    for node, text in page.events:
-        if text is not None and not skip[node]:
-            size = len("".join(text.split()))
-            c[node] += size
-            if in_link[node]:
-                lc[node] += size
-    for i in range(n - 1, 0, -1):
-        if not skip[i]:
-            p = parent[i]
-            c[p] += c[i]
-            lc[p] += lc[i]
-            t[p] += t[i] + 1
-            lt[p] += lt[i] + (tag[i] == "a")
-    body = next((i for i in range(n) if tag[i] == "body" and not skip[i]), 0)
-    share = lc[body] / max(c[body], 1)
-    density = [0.0 if skip[i] else _density(c[i], t[i], lc[i], lt[i], share) for i in range(n)]
-    total = [0.0] * n
-    for i in range(1, n):
-        total[parent[i]] += density[i]
-    blocks = [i for i in range(n) if not skip[i] and tag[i] in BLOCKS and tag[i] not in LEAVES and c[i]]
+    m = Measures(page, skip)
+    blocks = [i for i in range(len(tag)) if not skip[i] and tag[i] in BLOCKS and tag[i] not in LEAVES and m.c[i]]
     if not blocks:
-        return {body}
-    best = max(blocks, key=lambda i: (total[i], -i))
+        return {m.body}
+    best = max(blocks, key=lambda i: (m.total[i], -i))
     path = [best, *_ancestors(parent, best)]
-    articles = [i for i in path if tag[i] == "article"] or [i for i in path if tag[i] == "main"]
-    if articles:  # the element stands for its densest block
-        best = articles[-1]
+    around = [i for i in path if tag[i] == "article"] or [i for i in path if tag[i] == "main"]
+    if around and m.lc[around[-1]] - m.lc[best] <= LINK_SHARE * max(m.c[around[-1]] - m.c[best], 1):
+        best = around[-1]
         path = path[path.index(best) :]
-    path = path[: path.index(body) + 1] if body in path else path
-    threshold = min(density[i] for i in path)
+    path = path[: path.index(m.body) + 1] if m.body in path else path
+    threshold = min(m.density[i] for i in path)
     on_path, chosen = set(path), {best}
-    for i in range(1, n):
-        if parent[i] in on_path and i not in on_path and parent[i] != best and not skip[i] and tag[i] in BLOCKS and density[i] >= threshold > 0:
-            chosen.add(i)
+    for i in range(1, len(tag)):
+        if parent[i] in on_path and i not in on_path and parent[i] != best and not skip[i] and tag[i] in BLOCKS and m.c[i]:
+            heads = tag[i] in HEADINGS and i < best and m.lc[i] <= LINK_SHARE * m.c[i]
+            if heads or m.density[i] >= threshold > 0:
+                chosen.add(i)
     return chosen
 
 
@@ -287,48 +317,45 @@ def main_text(html: str | None) -> str:
     if not html or not _BLANK.search(html):
         return ""
     page = Page(html)
-    forms = _wrapping_forms(page)
     for by_name in (True, False):
-        skip = [False] * len(page.tag)
-        for i in range(1, len(skip)):
-            skip[i] = skip[page.parent[i]] or page.tag[i] in DROPPED and i not in forms or by_name and page.named[i]
-        _unskip_wrappers(page, skip, forms)
+        skip = _skipped(page, by_name)
         text = _render(page, skip, _chosen(page, skip))
         if text:
             return text
     return ""
 
 
-def _wrapping_forms(page: Page) -> set[int]:
-    """Forms that hold more than half of the text that no other element drops."""
-    n = len(page.tag)
-    if "form" not in page.tag:
-        return set()
-    out, size = [False] * n, [0] * n
+def _skipped(page: Page, by_name: bool) -> list[bool]:
+    """Which nodes are no part of any text: by element, and by name as far as names may vote."""
+    tag, parent, named = page.tag, page.parent, page.named
+    n = len(tag)
+    inside = [False] * n  # below an article or main
+    headed, wraps = [False] * n, [False] * n  # holds a heading; an article or main
     for i in range(1, n):
-        out[i] = out[page.parent[i]] or page.named[i] or page.tag[i] in DROPPED and page.tag[i] != "form"
-    for node, text in page.events:
-        if text is not None and not out[node]:
-            size[node] += len("".join(text.split()))
+        inside[i] = inside[parent[i]] or tag[parent[i]] in ("article", "main")
     for i in range(n - 1, 0, -1):
-        size[page.parent[i]] += size[i]
-    return {i for i in range(n) if page.tag[i] == "form" and 2 * size[i] > size[0]}
+        p = parent[i]
+        headed[p] = headed[p] or headed[i] or tag[i] in HEADINGS
+        if named[i] < 2 and tag[i] not in DROPPED or tag[i] == "form":
+            wraps[p] = wraps[p] or wraps[i] or tag[i] in ("article", "main")
+    dropped = [False] * n
+    for i in range(1, n):
+        own_header = tag[i] == "header" and inside[i] and headed[i]
+        dropped[i] = dropped[parent[i]] or tag[i] in DROPPED and tag[i] != "form" and not own_header or named[i] == 2
+    m = Measures(page, dropped)
+    apart = any(tag[i] in ("article", "main") and not named[i] and not dropped[i] and m.c[i] for i in range(n))
 
+    def most(i: int) -> bool:
+        return 2 * m.c[i] > m.c[0] and m.lc[i] <= LINK_SHARE * m.c[i] and (inside[i] or wraps[i] or not apart)
 
-def _unskip_wrappers(page: Page, skip: list[bool], forms: set[int]) -> None:
-    """A block dropped by name that holds the page's only article is a wrapper."""
-    tag, parent = page.tag, page.parent
-    if any(tag[i] in ("article", "main") and not skip[i] for i in range(len(tag))):
-        return
-    for i in range(1, len(tag)):
-        if tag[i] in ("article", "main") and not page.named[i] and not any(tag[x] in DROPPED and x not in forms for x in _ancestors(parent, i)):
-            keep = {i, *_ancestors(parent, i)}
-            for k in sorted(keep):
-                skip[k] = False
-            for k in range(1, len(tag)):
-                if k not in keep:
-                    skip[k] = skip[parent[k]] and parent[k] not in keep or tag[k] in DROPPED and k not in forms or page.named[k]
-            return
+    skip = [False] * n
+    for i in range(1, n):
+        own_header = tag[i] == "header" and inside[i] and headed[i]
+        out = tag[i] in DROPPED and not own_header and not (tag[i] == "form" and most(i))
+        if by_name and named[i] and not out:
+            out = not (wraps[i] or named[i] == 1 and most(i)) or named[i] == 2
+        skip[i] = skip[parent[i]] or out
+    return skip
 
 
 def _texts(pages: pd.Series) -> pd.Series:
