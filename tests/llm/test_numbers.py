@@ -111,37 +111,58 @@ def test_source_ranks(spark):
 
 def plain_top_k(rows, k):
     good = [(i, np.floor(1024 * np.array(v, float)).astype(int).tolist()) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
-    for i, q in good:
+    least = {}
+    for i, v in good:
+        least[i] = min(v, least.get(i, v))
+    out = []
+    for i, q in least.items():
         if i % 10 == 0:
             scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i)[:k]
-            out |= {(i, n, j, -s) for n, (s, j) in enumerate(scored, 1)}
-    return out
+            out += [(i, n, j, -s) for n, (s, j) in enumerate(scored, 1)]
+    return sorted(out)
 
 
 def test_top_k_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(25)] + [(400, None), (401, []), (402, [1.0, None]), (403, [float("nan")] * 6), (404, [float("inf")] * 6), (None, [1.0] * 6), (405, [2.0, 3.0]), (410, [1e6] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
-    expected = plain_top_k(rows, 10)
-    for block, queries, group, held in ((4096, 1024, 32, 128), (16, 5, 2, 128), (16, 5, 4, 3)):
-        monkeypatch.setattr(topk, "BLOCK_ROWS", block)
-        monkeypatch.setattr(topk, "QUERY_ROWS", queries)
-        monkeypatch.setattr(topk, "GROUP_BLOCKS", group)
-        monkeypatch.setattr(topk, "HELD_BLOCKS", held)
-        got = {tuple(r) for r in topk.top_k(df.repartition(3), F.col("vec_id") % 10 == 0).collect()}
-        assert got == expected
+    rows += [(20, rows[5][1]), (20, rows[6][1]), (33, rows[9][1]), (33, rows[9][1]), (420, [-3.0]), (430, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).withColumn("v", F.lit(1)).withColumn("salt", F.lit(1))
+    for k, block, queries, held, bounds in ((10, 4096, 1024, 32, 1 << 20), (10, 16, 5, 32, 1 << 20), (10, 16, 5, 2, 40), (1, 7, 3, 32, 1 << 20), (1000, 64, 5, 3, 100)):
+        for name, value in (("BLOCK_ROWS", block), ("QUERY_ROWS", queries), ("HELD_BLOCKS", held), ("HELD_BOUNDS", bounds)):
+            monkeypatch.setattr(topk, name, value)
+        got = sorted(map(tuple, topk.top_k(df.repartition(3), F.col("vec_id") % 10 == 0, k).collect()))
+        assert got == plain_top_k(rows, k)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+    few = df.filter("vec_id = 20")
+    assert topk.top_k(few, F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_few_exact_vectors_are_read(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=32).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").select("vec_id", F.transform("v", lambda x: F.floor(1024 * x)).alias("v"))
+    queries = df.filter("vec_id % 100 = 0")
+    read = topk.survivors(df, queries, 10)
+    assert 10 * 40 <= read.count() <= 25 * 40
+    plan = topk.top_k(df.withColumnRenamed("v", "embedding"), F.col("vec_id") % 100 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_scores_beyond_64_bits_raise(spark):
+    df = spark.createDataFrame([(100, [3e15, 3e15]), (1, [3e15, 1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(df, F.col("vec_id") % 100 == 0).collect()
 
 
 def test_bounds_hold():
     rng = np.random.default_rng(1)
-    vectors, queries = rng.integers(-2000, 2000, (500, 12)), rng.integers(-2000, 2000, (20, 12))
-    bounds = topk.Approximation(vectors).upper(queries)
-    assert np.all(bounds >= topk.exact_scores(queries, vectors))
-    with pytest.raises(OverflowError):
-        topk.exact_scores(np.full((1, 4), 2**62), np.full((1, 4), 2**62))
+    for scale, dims in ((2000, 12), (3, 64), (10**9, 5), (10**12, 40)):
+        vectors, queries = rng.integers(-scale, scale, (500, dims)), rng.integers(-scale, scale, (20, dims))
+        vectors[:, 0] = 7
+        products, lower, upper = topk.Approximation.of(vectors).bounds(queries)
+        exact = queries.astype(object) @ vectors.T.astype(object)
+        assert np.all((products + upper[:, None]).astype(object) >= exact) and np.all((products + lower[:, None]).astype(object) <= exact)
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
