@@ -149,6 +149,18 @@ def test_few_exact_vectors_are_read(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_a_hot_group_of_copies_is_cut_to_what_results_hold(spark):
+    rng = np.random.default_rng(6)
+    hot = rng.normal(size=8).tolist()
+    rows = [(i, hot if i % 3 else rng.normal(size=8).tolist()) for i in range(3000)] + [(100, hot)] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 10 == 0).collect()))
+    assert got == plain_top_k(rows, 10)
+    used = df.select("vec_id", F.transform("embedding", lambda x: F.floor(1024 * x)).alias("v"))
+    pairs = topk.survivors(used, used.filter("vec_id = 100").groupBy("vec_id").agg(F.min("v").alias("v")), 10)
+    assert 10 <= pairs.count() <= 200
+
+
 def test_scores_beyond_64_bits_raise(spark):
     df = spark.createDataFrame([(100, [3e15, 3e15]), (1, [3e15, 1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="64 bits"):
