@@ -23,6 +23,7 @@ never is a group's smallest unless all are null; an empty table gives none.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -96,6 +97,16 @@ def blocks_for(n: int, max_bits: int = MAX_BITS) -> int:
     return b
 
 
+#: Parts that the rows of one hub of a join are dealt to.
+SALTS = 8
+
+
+def _hub_join(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """``many`` joined to the one row of ``few`` that has its ``key``, a hot key's rows in ``SALTS`` parts."""
+    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
+
+
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The smallest row each of n rows is connected to."""
     label = np.arange(n)
@@ -113,10 +124,12 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return label
 
 
-def bucket_forest(group: np.ndarray, chunk: np.ndarray, cross: np.ndarray, prints: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+def bucket_forest(group: np.ndarray, chunk: np.ndarray, cross: np.ndarray, prints: np.ndarray, max_bits: int = MAX_BITS, counts: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (as a spanning forest) among rows of equal ``group``.
 
     Rows of a group marked ``cross`` are only compared between its two chunks.
+    ``counts`` sums the pairs within the first pivot's window, those left by
+    the other pivots, and those verified.
     """
     table = np.bitwise_count(prints[:, None] ^ pivots()[None, :]).astype(np.int8)
     order = np.lexsort((table[:, 0], group))
@@ -138,12 +151,15 @@ def bucket_forest(group: np.ndarray, chunk: np.ndarray, cross: np.ndarray, print
         a, b = active, other
         apart = ~cross[a] | (chunk[a] != chunk[b])
         a, b = a[apart], b[apart]
+        met = len(a)
         for k in range(1, table.shape[1]):
             if not len(a):
                 break
             keep = np.abs(table[a, k] - table[b, k]) <= max_bits
             a, b = a[keep], b[keep]
         keep = np.bitwise_count(prints[a] ^ prints[b]) <= max_bits
+        if counts is not None:
+            counts.update({"met": met, "left by pivots": len(a), "verified": int(keep.sum())})
         if keep.any():
             lefts.append(a[keep])
             rights.append(b[keep])
@@ -216,10 +232,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _hub_join(both.filter("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        linked = large.join(least, "u").filter("v <> m").select("u", F.col("m").alias("v"))
+        small = _hub_join(large, least, "u", "v").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        linked = _hub_join(large, least, "u", "v").filter("v <> m").select("u", F.col("m").alias("v"))
         edges = pinned(small.unionByName(linked).filter("u <> v").distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
         if now == state:
@@ -232,9 +248,11 @@ def _groups(prints: DataFrame, max_bits: int) -> DataFrame:
     """Rows (fp, component_id, group_rows) from pinned rows (doc_id, fp)."""
     distinct = pinned(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     roots = pinned(components(links(distinct.select("fp"), max_bits)))
-    joined = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
-    heads = joined.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("group_rows"))
-    return pinned(joined.select("fp", "root").join(heads, "root").select("fp", "component_id", "group_rows", "root"))
+    joined = pinned(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", "root"))
+    alone = joined.filter("root is null").select("fp", F.col("first_id").alias("component_id"), F.col("n").alias("group_rows"), F.col("fp").alias("root"))
+    linked = joined.filter("root is not null")
+    heads = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("group_rows"))
+    return pinned(alone.unionByName(_hub_join(linked.select("fp", "root"), heads, "root", "fp").select("fp", "component_id", "group_rows", "root")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
