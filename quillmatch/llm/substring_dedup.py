@@ -8,13 +8,20 @@ more evenly than places below a bound, so fewer passages miss whole chunks.  Tex
 with a period of up to ``RADIUS`` bytes has no such place; it is cut into whole
 periods from its least hash on, and its chunks are told apart by their number
 up to ``LONGEST_CHUNK``, so a lone run does not count as its own repeat below
-that.  Chunks are compared by 128-bit digest.  Runs of neighbouring repeated chunks of ``MIN_SPAN`` bytes and more
-are repeated passages; all but the first occurrence (smallest id, then place)
-are removed.
+that.  Chunks are compared by 128-bit digest.
 
-Chunk digests first go through the fingerprint exchange of ``exact_dedup``,
-so only chunks that may repeat are shuffled with their places.  A digest that
-is very common is summed before its shuffle and met again by an equi-join.
+Runs of neighbouring repeated chunks are repeated passages if they have
+``MIN_SPAN`` bytes and, with the chunk at either end that holds the passage's cut
+end, more than ``MIN_WORDS`` words, so that passages of more words than that are
+not passed over for their cut ends, and shorter repeats (license lines, headings)
+stay.  Where words are not set apart every ``WORD_BYTES`` bytes count as one.  All
+but the first occurrence (smallest id, then place) are removed.
+
+Every text is chunked and digested once; the chunks' places and digests are
+written down.  The digests go through the fingerprint exchange of
+``exact_dedup``, so only chunks that may repeat are shuffled with their places.
+A digest that is very common is summed before its shuffle and met again by an
+equi-join.
 
 Defined cases: a null text is empty and has no chunks; rows equal in id and
 text are one document and are treated alike; a null id comes last; a passage
@@ -27,13 +34,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmatch.llm.common import positional
+from quillmatch.llm.common import positional, stored
 from quillmatch.llm.exact_dedup import MAX_FILTER_BITS, in_bitmap, suspect_test
 
 WINDOW = 8
@@ -41,6 +49,8 @@ RADIUS = 16
 MEAN_CHUNK = 2 * RADIUS + 1
 LONGEST_CHUNK = 4096
 MIN_SPAN = 64
+MIN_WORDS = 50
+WORD_BYTES = 24
 SEED = 7
 
 _GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), SEED) & 0xFFFF for b in range(256)], np.uint16)
@@ -136,14 +146,6 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for text in batch.column(0):
-            data = _bytes(text.as_py())
-            if data:
-                yield pa.RecordBatch.from_arrays([pa.array(_digests(data, *_chunks(data))[0])], names=["hash"])
-
-
 def _gathered(rows_at_once: int = 50_000):
     """Joins many small batches to fewer."""
 
@@ -161,37 +163,50 @@ def _gathered(rows_at_once: int = 50_000):
     return run
 
 
-def _suspects(slot_bits: int, shared):
-    names = ["id", "mark", "at", "size", "d1", "d2"]
+_CHUNK = "id long, mark long, at int, size int, before int, after int, d1 long, d2 long"
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every chunk: its place, the sizes of the chunks beside it, and its digest."""
+    names = _CHUNK.replace(",", "").split()[::2]
 
     def one(i: int | None, mark: int, data: bytes) -> pa.RecordBatch:
         ends, numbers = _chunks(data)
-        d1, d2 = _digests(data, ends, numbers)
         sizes = np.diff(ends, prepend=0)
-        may = in_bitmap(d1, slot_bits, shared.value)
-        n = int(may.sum())
-        columns = [pa.array([i] * n, pa.int64()), pa.array(np.full(n, mark)), pa.array((ends - sizes)[may]), pa.array(sizes[may]), pa.array(d1[may]), pa.array(d2[may])]
+        n, beside = len(ends), np.concatenate([[0], sizes, [0]])
+        ints = [pa.array(x.astype(np.int32)) for x in (ends - sizes, sizes, beside[:-2], beside[2:])]
+        columns = [pa.array([i] * n, pa.int64()), pa.array(np.full(n, mark)), *ints, *map(pa.array, _digests(data, ends, numbers))]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run() -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, mark, text in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True):
                 data = _bytes(text.as_py())
                 if data:
                     yield one(i, mark, data)
 
-    return lambda batches: _gathered()(run(batches))
+    return _gathered()(run())
 
 
-def _spans(marks: list[tuple[int, int]], min_span: int) -> list[tuple[int, int]]:
-    """Runs of touching chunks (at, size), in bytes."""
+def _runs(marks: list[tuple[int, ...]]) -> list[tuple[int, int, int, int]]:
+    """Runs of touching chunks (at, size, before, after): start, end, and the reach with the chunks beside."""
     out: list[list[int]] = []
-    for at, size in sorted(marks):
+    for at, size, before, after in sorted(marks):
         if out and out[-1][1] >= at:
-            out[-1][1] = max(out[-1][1], at + size)
+            if at + size >= out[-1][1]:
+                out[-1][1], out[-1][3] = at + size, at + size + after
         else:
-            out.append([at, at + size])
-    return [(a, b) for a, b in out if b - a >= min_span]
+            out.append([at, at + size, at - before, at + size + after])
+    return [tuple(x) for x in out]
+
+
+def word_count(data: bytes) -> int:
+    return sum(-(-len(w) // WORD_BYTES) for w in data.split())
+
+
+def passages(data: bytes, marks: list[tuple[int, ...]], min_span: int, min_words: int) -> list[tuple[int, int]]:
+    """The runs of repeated chunks that are long enough, in bytes."""
+    return [(a, b) for a, b, low, high in _runs(marks) if b - a >= min_span and word_count(data[low:high]) > min_words]
 
 
 #: Rows whose spans a worker holds as objects at once.
@@ -210,13 +225,14 @@ def _points(data: bytes, spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def _cleared(text: str | None, marks: list[dict] | None, min_span: int) -> tuple[list, list, str]:
+def _cleared(text: str | None, marks: list[dict] | None, min_span: int, min_words: int) -> tuple[list, list, str]:
     """The repeated and the removed spans of a text, and what stays of it."""
     if not marks:
         return [], [], text or ""
     data = _bytes(text)
-    repeated = _spans([(m["at"], m["size"]) for m in marks], min_span)
-    removed = _spans([(m["at"], m["size"]) for m in marks if not m["first"]], min_span)
+    repeated = passages(data, [(m["at"], m["size"], m["before"], m["after"]) for m in marks], min_span, min_words)
+    later = [(a, b) for a, b, *_ in _runs([(m["at"], m["size"], 0, 0) for m in marks if not m["first"]]) if b - a >= min_span]
+    removed = [(a, b) for a, b in later if any(x <= a and b <= y for x, y in repeated)]
     kept, at = [], 0
     for a, b in removed:
         kept.append(data[at:a])
@@ -225,7 +241,7 @@ def _cleared(text: str | None, marks: list[dict] | None, min_span: int) -> tuple
     return _points(data, repeated), _points(data, removed), b"".join(kept).decode("utf-8", "surrogatepass")
 
 
-def _apply(text_at: int, min_span: int):
+def _apply(text_at: int, min_span: int, min_words: int):
     """Replaces the last column, a text's repeated chunks, by its spans and what stays."""
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -233,7 +249,7 @@ def _apply(text_at: int, min_span: int):
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(start, ROWS_AT_ONCE)
-                done = [_cleared(t.as_py(), m.as_py(), min_span) for t, m in zip(batch.column(text_at), batch.column(batch.num_columns - 1), strict=True)]
+                done = [_cleared(t.as_py(), m.as_py(), min_span, min_words) for t, m in zip(batch.column(text_at), batch.column(batch.num_columns - 1), strict=True)]
                 new = [pa.array([d[k] for d in done], kind) for k, kind in enumerate((spans, spans, pa.string()))]
                 columns = [*batch.columns[:-1], *new]
                 yield pa.RecordBatch.from_arrays(columns, names=[str(k) for k in range(len(columns))])
@@ -241,21 +257,24 @@ def _apply(text_at: int, min_span: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_span: int = MIN_SPAN, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_span: int = MIN_SPAN, min_words: int = MIN_WORDS, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """``docs`` with ``__repeated`` and ``__removed`` spans and ``__text``, the text without the latter."""
     own, (id_name, text_name) = positional(docs, id_col, text_col)
     text = F.col(text_name)
-    size = own.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    hashes = own.select(text).mapInArrow(lambda batches: _gathered()(_hashes(batches)), "hash long")
-    slot_bits, shared = suspect_test(hashes, size // MEAN_CHUNK + own.count(), max_filter_bits, 8)
-    slim = own.select(F.col(id_name).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text)
-    chunks = slim.mapInArrow(_suspects(slot_bits, shared), "id long, mark long, at long, size long, d1 long, d2 long")
+    chunks = stored(own.select(F.col(id_name).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text).mapInArrow(_described, _CHUNK))
+    slot_bits, shared = suspect_test(chunks.select("d1"), chunks.count(), max_filter_bits, 8)
+
+    @F.pandas_udf("boolean")
+    def may_repeat(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(hashes.to_numpy(np.int64), slot_bits, shared.value))
+
+    suspects = chunks.filter(may_repeat("d1"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "mark", "at")
-    common = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")).filter("n > 1").drop("n")
-    met = chunks.join(common, ["d1", "d2"]).withColumn("first", F.col("head") == place)
-    marks = met.groupBy("id", "mark").agg(F.collect_set(F.struct("at", "size", "first")).alias("__marks"))
+    common = suspects.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")).filter("n > 1").drop("n")
+    met = suspects.join(common, ["d1", "d2"]).withColumn("first", F.col("head") == place)
+    marks = met.groupBy("id", "mark").agg(F.collect_set(F.struct("at", "size", "before", "after", "first")).alias("__marks"))
     marks = marks.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__marks")
     both = own.join(marks, F.col(id_name).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left")
     new = [T.StructField("__repeated", _SPANS), T.StructField("__removed", _SPANS), T.StructField("__text", T.StringType())]
-    done = both.select(*own.columns, "__marks").mapInArrow(_apply(own.columns.index(text_name), min_span), T.StructType([*own.schema.fields, *new]))
+    done = both.select(*own.columns, "__marks").mapInArrow(_apply(own.columns.index(text_name), min_span, min_words), T.StructType([*own.schema.fields, *new]))
     return done.toDF(*docs.columns, "__repeated", "__removed", "__text")

@@ -46,9 +46,32 @@ def test_exact_duplicates(spark):
         assert [r.doc_id for r in found if r.kept] == [best]
 
 
-def test_exact_duplicates_with_a_full_filter(spark):
-    few = exact_dedup.exact_duplicates(frame(spark, ROWS), max_filter_bits=5)
-    assert sorted(map(str, few.collect())) == sorted(map(str, exact_dedup.exact_duplicates(frame(spark, ROWS)).collect()))
+def test_exact_duplicates_by_many_senders_and_owners(spark, monkeypatch):
+    """Senders of three rows and owners of eight hashes answer as large ones do; a unique row is no suspect."""
+    rows = ROWS + [(100 + i, f"text {i % 60}") for i in range(90)]
+    whole = sorted(map(str, exact_dedup.exact_duplicates(frame(spark, rows)).collect()))
+    monkeypatch.setattr(exact_dedup, "SENDER_ROWS", 3)
+    monkeypatch.setattr(exact_dedup, "OWNER_HASHES", 8)
+    for parts in (1, 7):
+        df = frame(spark, rows).repartition(parts)
+        assert sorted(map(str, exact_dedup.exact_duplicates(df).collect())) == whole
+        text = F.coalesce("text", F.lit(""))
+        marked = exact_dedup.exchanged(df.select(F.col("doc_id").alias("id"), *exact_dedup._keys(text))).collect()
+        count = {}
+        for _, t in rows:
+            sha = hashlib.sha256((t or "").encode()).hexdigest()
+            count[sha] = count.get(sha, 0) + 1
+        assert len(marked) == len(rows) and all(r.suspect == (count[r.sha] > 1) for r in marked)
+
+
+def test_suspect_test_never_misses_a_repeat(spark):
+    rng = np.random.default_rng(3)
+    values = rng.integers(-(2**63), 2**63 - 1, 500)
+    df = spark.createDataFrame([(int(v),) for v in [*values, *values[:40]]], "hash long").repartition(4)
+    for bits in (5, 30):
+        slot_bits, shared = exact_dedup.suspect_test(df, 540, bits)
+        assert exact_dedup.in_bitmap(values[:40], slot_bits, shared.value).all()
+    assert exact_dedup.in_bitmap(values[40:], slot_bits, shared.value).mean() < 0.1
 
 
 def test_drop_exact_duplicates_keeps_columns(spark):

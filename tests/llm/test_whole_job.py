@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,17 +11,42 @@ from quillmatch.llm import html_text, substring_dedup
 
 
 def shared_bytes(a, b):
-    """Bytes of ``b`` in repeated passages, and the bytes ``a`` repeats of itself."""
-    marks, seen = [], set()
+    """Bytes of ``b`` in passages repeated from ``a``, and the number of chunks ``a`` repeats of itself."""
+    marks = []
     for text in (a.encode(), b.encode()):
         ends, numbers = substring_dedup._chunks(text)
-        at = [0, *ends.tolist()]
-        marks.append([(d, x, y - x) for d, x, y in zip(zip(*substring_dedup._digests(text, ends, numbers), strict=True), at, at[1:], strict=False)])
-    seen = {d for d, *_ in marks[0]}
-    return sum(y - x for x, y in substring_dedup._spans([m[1:] for m in marks[1] if m[0] in seen], substring_dedup.MIN_SPAN)), len(marks[0]) - len(seen)
-
-
-@pytest.mark.parametrize("unit, times", [("no data ", 51), ("no data ", 400), ("lorem ipsum ", 300), ("yes no maybe so ", 60), ("é", 300), ("a ", 64)])
+        sizes = np.diff(ends, prepend=0).tolist()
+        at, beside = [0, *ends.tolist()], [0, *sizes, 0]
+        marks.append([(d, x, n, beside[k], beside[k + 2]) for k, (d, x, n) in enumerate(zip(zip(*substring_dedup._digests(text, ends, numbers), strict=True), at, sizes, strict=False))])
+    seen = {m[0] for m in marks[0]}
+    found = substring_dedup.passages(b.encode(), [m[1:] for m in marks[1] if m[0] in seen], substring_dedup.MIN_SPAN, substring_dedup.MIN_WORDS)
+    return sum(y - x for x, y in found), len(marks[0]) - len(seen)
+
+
+def random_words(rng, n, longest=9):
+    return " ".join("".join(rng.choice("bcdfghjklmnpq") for _ in range(rng.randrange(2, longest))) for _ in range(n))
+
+
+def test_passages_over_fifty_words_are_found_and_short_repeats_stay():
+    rng = random.Random(3)
+    caught = {n: 0 for n in (51, 60, 80)}
+    stayed = {n: 0 for n in (10, 20, 30, 40)}
+    for _ in range(400):
+        for n in (*caught, *stayed):
+            passage = random_words(rng, n)
+            a, b = (f"{random_words(rng, 30)} {passage} {random_words(rng, 30)}" for _ in range(2))
+            found = shared_bytes(a, b)[0] > 0
+            if n in caught:
+                caught[n] += found
+            else:
+                stayed[n] += not found
+    assert caught[51] >= 384 and caught[60] == caught[80] == 400, caught
+    # 300 unspaced letters are 600 bytes and count as 25 words.
+    assert shared_bytes(f"{random_words(rng, 30)} {'é' * 300} x", f"{random_words(rng, 40)} {'é' * 300} y")[0] == 0
+    assert min(stayed[n] for n in (10, 20, 30)) >= 396 and stayed[40] >= 330, stayed
+
+
+@pytest.mark.parametrize("unit, times", [("no data ", 51), ("no data ", 400), ("lorem ipsum ", 300), ("yes no maybe so ", 60), ("é", 900), ("a ", 64)])
 def test_short_periods_are_cut_by_content(unit, times):
     for seed in range(12):
         rng = random.Random(seed)
