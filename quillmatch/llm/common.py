@@ -49,6 +49,16 @@ def if_small(narrow: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(narrow) if narrow.limit(max_rows + 1).count() <= max_rows else narrow
 
 
+#: Parts that the rows of one hub of a join are dealt to.
+SALTS = 8
+
+
+def hub_join(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """``many`` joined to the one row of ``few`` that has its ``key``, a hot key's rows in ``SALTS`` parts."""
+    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of partitions a shuffle of this session deals to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

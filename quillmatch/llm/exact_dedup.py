@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmatch.llm.common import discard, fresh_folder, if_small, pinned, positional, power_of_two_at_least, shuffle_width, stored
+from quillmatch.llm.common import discard, fresh_folder, hub_join, if_small, pinned, positional, power_of_two_at_least, shuffle_width, stored
 
 #: Rows of one sender, and about how many hashes one owner merges.
 SENDER_ROWS = 500_000
@@ -246,7 +246,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Rows equal in text and id are one counted row until they are dealt out again.
     copies = marked.filter("suspect").groupBy("sha", "id").agg(F.count(F.lit(1)).alias("m"))
     grouped = (
-        copies.join(_groups(marked, texts), "sha")
+        hub_join(copies, _groups(marked, texts), "sha", "id")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
         .select(
             F.col("id").alias("doc_id"),

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.llm.common import if_small, pinned, positional, shuffle_width
+from quillmatch.llm.common import hub_join, if_small, pinned, positional, shuffle_width
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
@@ -97,16 +97,6 @@ def blocks_for(n: int, max_bits: int = MAX_BITS) -> int:
     return b
 
 
-#: Parts that the rows of one hub of a join are dealt to.
-SALTS = 8
-
-
-def _hub_join(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> DataFrame:
-    """``many`` joined to the one row of ``few`` that has its ``key``, a hot key's rows in ``SALTS`` parts."""
-    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return many.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
-
-
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The smallest row each of n rows is connected to."""
     label = np.arange(n)
@@ -232,10 +222,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _hub_join(both.filter("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = hub_join(both.filter("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _hub_join(large, least, "u", "v").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        linked = _hub_join(large, least, "u", "v").filter("v <> m").select("u", F.col("m").alias("v"))
+        small = hub_join(large, least, "u", "v").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        linked = hub_join(large, least, "u", "v").filter("v <> m").select("u", F.col("m").alias("v"))
         edges = pinned(small.unionByName(linked).filter("u <> v").distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
         if now == state:
@@ -252,7 +242,7 @@ def _groups(prints: DataFrame, max_bits: int) -> DataFrame:
     alone = joined.filter("root is null").select("fp", F.col("first_id").alias("component_id"), F.col("n").alias("group_rows"), F.col("fp").alias("root"))
     linked = joined.filter("root is not null")
     heads = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("group_rows"))
-    return pinned(alone.unionByName(_hub_join(linked.select("fp", "root"), heads, "root", "fp").select("fp", "component_id", "group_rows", "root")))
+    return pinned(alone.unionByName(hub_join(linked.select("fp", "root"), heads, "root", "fp").select("fp", "component_id", "group_rows", "root")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:

@@ -17,9 +17,8 @@ not passed over for their cut ends, and shorter repeats (license lines, headings
 stay.  Where words are not set apart every ``WORD_BYTES`` bytes count as one.  All
 but the first occurrence (smallest id, then place) are removed.
 
-Every text is chunked and digested once; the chunks' places and digests are
-written down.  The digests go through the fingerprint exchange of
-``exact_dedup``, so only chunks that may repeat are shuffled with their places.
+Chunk digests first go through the fingerprint exchange of ``exact_dedup``; only
+chunks that may repeat are written down, once, and shuffled with their places.
 A digest that is very common is summed before its shuffle and met again by an
 equi-join.
 
@@ -34,7 +33,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -163,29 +161,38 @@ def _gathered(rows_at_once: int = 50_000):
     return run
 
 
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column(0):
+            data = _bytes(text.as_py())
+            if data:
+                yield pa.RecordBatch.from_arrays([pa.array(_digests(data, *_chunks(data))[0])], names=["hash"])
+
+
 _CHUNK = "id long, mark long, at int, size int, before int, after int, d1 long, d2 long"
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every chunk: its place, the sizes of the chunks beside it, and its digest."""
+def _suspects(slot_bits: int, shared):
+    """A row for every chunk that may repeat: its place, the sizes of the chunks beside it, its digest."""
     names = _CHUNK.replace(",", "").split()[::2]
 
     def one(i: int | None, mark: int, data: bytes) -> pa.RecordBatch:
         ends, numbers = _chunks(data)
+        d1, d2 = _digests(data, ends, numbers)
+        may = in_bitmap(d1, slot_bits, shared.value)
         sizes = np.diff(ends, prepend=0)
-        n, beside = len(ends), np.concatenate([[0], sizes, [0]])
-        ints = [pa.array(x.astype(np.int32)) for x in (ends - sizes, sizes, beside[:-2], beside[2:])]
-        columns = [pa.array([i] * n, pa.int64()), pa.array(np.full(n, mark)), *ints, *map(pa.array, _digests(data, ends, numbers))]
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        n, beside = int(may.sum()), np.concatenate([[0], sizes, [0]])
+        ints = [pa.array(x[may].astype(np.int32)) for x in (ends - sizes, sizes, beside[:-2], beside[2:])]
+        return pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array(np.full(n, mark)), *ints, pa.array(d1[may]), pa.array(d2[may])], names=names)
 
-    def run() -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, mark, text in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True):
                 data = _bytes(text.as_py())
                 if data:
                     yield one(i, mark, data)
 
-    return _gathered()(run())
+    return lambda batches: _gathered()(run(batches))
 
 
 def _runs(marks: list[tuple[int, ...]]) -> list[tuple[int, int, int, int]]:
@@ -261,14 +268,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with ``__repeated`` and ``__removed`` spans and ``__text``, the text without the latter."""
     own, (id_name, text_name) = positional(docs, id_col, text_col)
     text = F.col(text_name)
-    chunks = stored(own.select(F.col(id_name).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text).mapInArrow(_described, _CHUNK))
-    slot_bits, shared = suspect_test(chunks.select("d1"), chunks.count(), max_filter_bits, 8)
-
-    @F.pandas_udf("boolean")
-    def may_repeat(hashes: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(hashes.to_numpy(np.int64), slot_bits, shared.value))
-
-    suspects = chunks.filter(may_repeat("d1"))
+    size = own.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    hashes = own.select(text).mapInArrow(lambda batches: _gathered()(_hashes(batches)), "hash long")
+    slot_bits, shared = suspect_test(hashes, size // MEAN_CHUNK + own.count(), max_filter_bits, 8)
+    slim = own.select(F.col(id_name).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text)
+    suspects = stored(slim.mapInArrow(_suspects(slot_bits, shared), _CHUNK))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "mark", "at")
     common = suspects.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")).filter("n > 1").drop("n")
     met = suspects.join(common, ["d1", "d2"]).withColumn("first", F.col("head") == place)
