@@ -50,7 +50,7 @@ UNKNOWN = "und"
 #: What all characters but letters count as; 0 pads short n-grams.
 _OTHER = 1
 #: Characters that a worker holds at once, of one text or of several.
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 18
 TEXTS_AT_ONCE = 64
 #: Cells of the presence matrices that training holds at once.
 _CELLS_AT_ONCE = 1 << 24

@@ -151,11 +151,20 @@ def _ranked(rows: DataFrame, schedule: DataFrame, doc_id: Column, source: Column
     return met.withColumn("__cell", F.floor(F.col("__q") / (1 + F.col("__q")) * F.lit(float(RANK_CELLS))).cast("int"))
 
 
+def _inside(cell: Column, cut: Column) -> Column:
+    """Whether a row lies in its source's cut cell, so that its copies are not known at once."""
+    return cell.isNotNull() & cut.isNotNull() & cell.eqNullSafe(cut)
+
+
+def _copies() -> Column:
+    """Copies of a row outside the cut cell: the certain ones, and one more in front of the cut."""
+    return F.col("__whole") + F.when(F.col("__q").isNull(), 0).when(F.col("__cut").isNull() | (F.col("__cell") < F.col("__cut")), 1).otherwise(0)
+
+
 def _split(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose copies are known at once, and those of the cut cells."""
-    inside = F.col("__q").isNotNull() & F.col("__cut").isNotNull() & F.col("__cell").eqNullSafe(F.col("__cut"))
-    extra = F.when(F.col("__q").isNull(), 0).when(F.col("__cut").isNull() | (F.col("__cell") < F.col("__cut")), 1).otherwise(0)
-    return ranked.filter(~inside).withColumn("__copies", F.col("__whole") + extra), ranked.filter(inside)
+    inside = _inside(F.col("__cell"), F.col("__cut"))
+    return ranked.filter(~inside).withColumn("__copies", _copies()), ranked.filter(inside)
 
 
 def _cut_cells(ranked_cut: DataFrame) -> DataFrame:
@@ -190,21 +199,27 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, budget_share: float = BUDGET_SHARE, max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
     """The mixed documents: every row as often as the mix takes it, all columns kept.
 
-    The schedule, a row per source, is the only thing joined to whole
-    documents; only rows of the cut cells are looked up one by one.
+    Sizes are counted once and ranked without the texts.  Whole documents are
+    read once, where they meet the schedule and the few decisions of the cut
+    cells; only if the cut falls between equal rows are those numbered apart.
     """
-    schedule = _schedule(_sized(docs, id_col, text_col, source_col), weights, budget_share, max_copies, seed)
+    sized = _sized(docs, id_col, text_col, source_col)
+    schedule = _schedule(sized, weights, budget_share, max_copies, seed)
+    fits = _cut_cells(_split(_ranked(sized, schedule, F.col("doc_id"), F.col("source"), F.col("size"), seed))[1])
+    fits = pinned(fits.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__m", "__fits"))
     own, (id_name, text, source_name) = positional(docs, id_col, text_col, source_col)
     doc_id, source = F.col(id_name), F.col(source_name)
-    rows = own.withColumn("__size", word_count(F.col(text)))
-    plain, cut = _split(_ranked(rows, schedule, doc_id, source, F.col("__size"), seed))
-    fits = _cut_cells(cut.select(doc_id.alias("doc_id"), source.alias("source"), F.col("__size").alias("size"), "__words", "__target", "__whole", "__q", "__rest", "__before"))
-    fits = fits.select(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__m", "__fits")
-    met = cut.join(fits, doc_id.eqNullSafe(F.col("__i")) & source.eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")))
-    alone = met.filter((F.col("__fits") == 0) | (F.col("__fits") == F.col("__m"))).withColumn("__copies", F.col("__whole") + (F.col("__fits") > 0).cast("long"))
-    among = Window.partitionBy("__i", "__s", "__z").orderBy(F.xxhash64(F.col(text)))
-    shared = met.filter((F.col("__fits") > 0) & (F.col("__fits") < F.col("__m"))).withColumn("__at", F.row_number().over(among))
-    shared = shared.withColumn("__copies", F.col("__whole") + (F.col("__at") <= F.col("__fits")).cast("long"))
+    same = doc_id.eqNullSafe(F.col("__i")) & source.eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
+    ranked = _ranked(own.withColumn("__size", word_count(F.col(text))), schedule, doc_id, source, F.col("__size"), seed)
+    partly = (F.col("__fits") > 0) & (F.col("__fits") < F.col("__m"))
+    met = ranked.join(if_small(fits), same & _inside(F.col("__cell"), F.col("__cut")), "left")
+    met = met.withColumn("__copies", F.when(F.col("__m").isNull(), _copies()).when(partly, 0).otherwise(F.col("__whole") + (F.col("__fits") > 0).cast("long")))
+    parts = [met]
+    between = pinned(fits.filter(partly))
+    if between.take(1):
+        among = Window.partitionBy("__i", "__s", "__z").orderBy(F.xxhash64(F.col(text)))
+        apart = ranked.join(if_small(between), same).withColumn("__at", F.row_number().over(among))
+        parts.append(apart.withColumn("__copies", F.col("__whole") + (F.col("__at") <= F.col("__fits")).cast("long")))
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")
-    every = [x.filter("__copies > 0").select(*own.columns, copies) for x in (plain, alone, shared)]
-    return every[0].unionByName(every[1]).unionByName(every[2]).select(own.columns).toDF(*docs.columns)
+    taken = [x.filter("__copies > 0").select(*own.columns, copies).select(own.columns) for x in parts]
+    return (taken[0] if len(taken) == 1 else taken[0].unionByName(taken[1])).toDF(*docs.columns)
