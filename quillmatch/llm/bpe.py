@@ -82,6 +82,22 @@ class Automaton:
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
 
+    def __getstate__(self) -> dict:
+        """Gaps travel as flat arrays: as many dicts and numbers would fill a worker's memory on the way."""
+        sizes = np.fromiter(map(len, self.gaps), np.int64, len(self.gaps))
+        flat = np.fromiter((x for g in self.gaps for pair in g.items() for x in pair), np.int32, 2 * int(sizes.sum()))
+        return self.__dict__ | {"gaps": (sizes, flat), "_users": [], "words": {}, "old_words": {}}
+
+    def __setstate__(self, state: dict) -> None:
+        sizes, flat = state["gaps"]
+        numbers = list(range(len(state["labels"])))  # one object for each number, however often it stands
+        self.__dict__ = state | {"gaps": []}
+        at = 0
+        for end in (2 * np.cumsum(sizes)).tolist():
+            own = flat[at:end].tolist()
+            self.gaps.append(dict(zip([numbers[k] for k in own[::2]], [numbers[k] for k in own[1::2]], strict=True)))
+            at = end
+
     def _spelling(self, label: str) -> str:
         return label[: -len(self.suffix)] + END if label.endswith(self.suffix) else label
 
@@ -143,15 +159,17 @@ class Automaton:
         return path[::-1]
 
     def encode_word(self, word: str) -> bytes:
-        """The ids of a word that is not among the young ones, as packed 32-bit numbers."""
+        """The ids of a word, as packed 32-bit numbers."""
+        found = self.words.get(word)  # a caller may still look into what were the young ones
+        if found is not None:
+            return found
         found = self.old_words.get(word)
         if found is None:
             symbols = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode()])
             found = np.array(self.encode_symbols(symbols), np.int32).tobytes()
         if len(word) <= LONGEST_KEPT_WORD:
             if len(self.words) >= KEPT_WORDS:
-                self.old_words = dict(self.words)
-                self.words.clear()  # the dict itself is what callers look into
+                self.old_words, self.words = self.words, {}
             self.words[word] = found
         return found
 

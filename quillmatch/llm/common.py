@@ -53,8 +53,13 @@ def if_small(narrow: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 SALTS = 8
 
 
-def hub_join(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> DataFrame:
-    """``many`` joined to the one row of ``few`` that has its ``key``, a hot key's rows in ``SALTS`` parts."""
+def hub_join(many: DataFrame, few: DataFrame, key: str, spread_by: str, rows: int | None = None) -> DataFrame:
+    """``many`` joined to the one row of ``few`` that has its ``key``, a hot key's rows in ``SALTS`` parts.
+
+    Where ``few`` is known to have no more than ``rows`` rows, few enough, it is broadcast.
+    """
+    if rows is not None and rows <= BROADCAST_ROWS:
+        return many.join(F.broadcast(few), key)
     salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return many.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
 

@@ -218,19 +218,19 @@ def components(edges: DataFrame) -> DataFrame:
     never gathered in one row or task.
     """
     edges = pinned(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    state = None
+    state, rows = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = hub_join(both.filter("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = hub_join(both.filter("v > u"), least, "u", "v", 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = hub_join(large, least, "u", "v").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        linked = hub_join(large, least, "u", "v").filter("v <> m").select("u", F.col("m").alias("v"))
+        small = hub_join(large, least, "u", "v", 2 * rows).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        linked = hub_join(large, least, "u", "v", 2 * rows).filter("v <> m").select("u", F.col("m").alias("v"))
         edges = pinned(small.unionByName(linked).filter("u <> v").distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
         if now == state:
             break
-        state = now
+        state, rows = now, now[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -241,8 +241,8 @@ def _groups(prints: DataFrame, max_bits: int) -> DataFrame:
     joined = pinned(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", "root"))
     alone = joined.filter("root is null").select("fp", F.col("first_id").alias("component_id"), F.col("n").alias("group_rows"), F.col("fp").alias("root"))
     linked = joined.filter("root is not null")
-    heads = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("group_rows"))
-    return pinned(alone.unionByName(hub_join(linked.select("fp", "root"), heads, "root", "fp").select("fp", "component_id", "group_rows", "root")))
+    heads = pinned(linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("group_rows")))
+    return pinned(alone.unionByName(hub_join(linked.select("fp", "root"), heads, "root", "fp", heads.count()).select("fp", "component_id", "group_rows", "root")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
