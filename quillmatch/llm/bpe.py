@@ -76,9 +76,17 @@ class Automaton:
             u, v = merge if isinstance(merge, list | tuple) else merge.split(" ")
             self._gadget(rank, vocab[u], vocab[v], vocab[u + v], alive)
         self.ids = {self._spelling(self.labels[i]): i for i in alive}
-        self.reach: dict[str, int] = {}  # longest label with given first two symbols
+        lengths: dict[str, set[int]] = {}
         for text in self.ids:
-            self.reach[text[:2]] = max(self.reach.get(text[:2], 1), len(text))
+            if len(text) > 2:
+                lengths.setdefault(text[:3], {1, 2}).add(len(text))
+        #: What ``arc`` follows for each token: its left part, when it was made, and what follows for that.
+        self.parts: list[tuple | None] = [None] * size
+        for w in sorted(alive, key=lambda w: self.rank[w]):
+            if self.rank[w] >= 0:
+                self.parts[w] = (self.left[w], self.rank[w] + 1, self.parts[self.left[w]])
+        #: Lengths, longest first, that labels with given first three symbols have.
+        self.reach = {start: tuple(sorted(found, reverse=True)) for start, found in lengths.items()}
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
 
@@ -134,17 +142,27 @@ class Automaton:
         arc at most and is entered once, longest labels first.
         """
         spelled, n = word + END, len(word) + 1
-        ids, arc, target, longest = self.ids, self.arc, self.target, self.reach
+        ids, gaps, parts, target, longest = self.ids, self.gaps, self.parts, self.target, self.reach
         came: dict[int, tuple[int, int]] = {}
         todo = [(0, 0)]
         while todo:
             i, state = todo.pop()
             if i == n:
                 break
-            todo_here = []
-            for j in range(min(n, i + longest.get(spelled[i : i + 2], 1)), i, -1):
+            todo_here, gap = [], gaps[state]
+            for length in longest.get(spelled[i : i + 3], (2, 1)):
+                j = i + length
+                if j > n or j in came:
+                    continue
                 token = ids.get(spelled[i:j])
-                if token is not None and j not in came and arc(state, token):
+                if token is None or token in gap:
+                    continue
+                part = parts[token]  # the test of ``arc``, in place
+                while part is not None:
+                    left, before, part = part
+                    if gap.get(left, before) < before:
+                        break
+                else:
                     came[j] = (i, token)
                     todo_here.append((j, target[token]))
                     if j == n:
