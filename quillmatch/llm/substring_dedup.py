@@ -20,7 +20,10 @@ but the first occurrence (smallest id, then place) are removed.
 Chunk digests first go through the fingerprint exchange of ``exact_dedup``; only
 chunks that may repeat are written down, once, and shuffled with their places.
 A digest that is very common is summed before its shuffle and met again by an
-equi-join.
+equi-join.  Of the texts with repeated chunks only those are looked at again whose
+runs are long enough for a passage; they meet their runs in a shuffle.  The others
+are passed on where they are read, if the former are few enough to be broadcast by
+id (``BROADCAST_TEXTS``, counted), else they take part in the same join.
 
 Defined cases: a null text is empty and has no chunks; rows equal in id and
 text are one document and are treated alike; a null id comes last; a passage
@@ -216,6 +219,26 @@ def passages(data: bytes, marks: list[tuple[int, ...]], min_span: int, min_words
     return [(a, b) for a, b, low, high in _runs(marks) if b - a >= min_span and word_count(data[low:high]) > min_words]
 
 
+def _may_hold_passage(min_span: int, min_words: int):
+    """Keeps the rows whose last column, a text's repeated chunks, has a run long enough for a passage.
+
+    More than ``min_words`` words are at least as many bytes and as many white spaces, less one.
+    """
+    least = 2 * (min_words + 1) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [
+                any(b - a >= min_span and high - low >= least for a, b, low, high in _runs([(m["at"], m["size"], m["before"], m["after"]) for m in marks.as_py()]))
+                for marks in batch.column(batch.num_columns - 1)
+            ]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+#: Texts with runs of repeated chunks whose ids are broadcast at most, 16 bytes each.
+BROADCAST_TEXTS = 2_000_000
 #: Rows whose spans a worker holds as objects at once.
 ROWS_AT_ONCE = 256
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -277,8 +300,20 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     common = suspects.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")).filter("n > 1").drop("n")
     met = suspects.join(common, ["d1", "d2"]).withColumn("first", F.col("head") == place)
     marks = met.groupBy("id", "mark").agg(F.collect_set(F.struct("at", "size", "before", "after", "first")).alias("__marks"))
+    marks = stored(marks.mapInArrow(_may_hold_passage(min_span, min_words), marks.schema))
     marks = marks.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__marks")
-    both = own.join(marks, F.col(id_name).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left")
+    same = F.col(id_name).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark"))
     new = [T.StructField("__repeated", _SPANS), T.StructField("__removed", _SPANS), T.StructField("__text", T.StringType())]
-    done = both.select(*own.columns, "__marks").mapInArrow(_apply(own.columns.index(text_name), min_span, min_words), T.StructType([*own.schema.fields, *new]))
+    schema = T.StructType([*own.schema.fields, *new])
+
+    def cleared(met: DataFrame) -> DataFrame:
+        return met.select(*own.columns, "__marks").mapInArrow(_apply(own.columns.index(text_name), min_span, min_words), schema)
+
+    if marks.count() <= BROADCAST_TEXTS:
+        ids = F.broadcast(marks.select("__id", "__mark"))
+        none = F.array().cast(_SPANS)
+        alone = own.join(ids, same, "left_anti").select(*own.columns, none.alias("__repeated"), none.alias("__removed"), F.coalesce(text, F.lit("")).alias("__text"))
+        done = alone.unionByName(cleared(own.join(ids, same, "left_semi").join(marks, same)))
+    else:
+        done = cleared(own.join(marks, same, "left"))
     return done.toDF(*docs.columns, "__repeated", "__removed", "__text")

@@ -242,3 +242,21 @@ def test_extra_columns_with_clashing_names(spark):
     assert exact_dedup.drop_exact_duplicates(df).columns == df.columns
     assert [r.doc_id for r in simhash.drop_near_duplicates(df).collect()] == [1]
     assert substring_dedup.dedup_substrings(df).count() == 2
+
+
+def test_passages_by_either_join(spark, monkeypatch):
+    """Texts with long runs give the same rows whether their ids are broadcast or all texts are joined, and none is lost before."""
+    rng = random.Random(9)
+    words = [" ".join("".join(rng.choice("bcdfgh") for _ in range(rng.randrange(2, 8))) for _ in range(n)) for n in (70, 56, 20, 90)]
+    rows = [(i, " ".join([rng.choice(words), f"own {i} " * rng.randrange(3), rng.choice(words), str(i)])) for i in range(40)]
+    df = frame(spark, [*rows, (50, None), (51, ""), (None, rows[0][1]), (3, rows[3][1]), (3, rows[4][1])])
+
+    def found():
+        return sorted((str(r.doc_id), str(r["__repeated"]), str(r["__removed"]), r["__text"]) for r in substring_dedup.dedup_substrings(df).collect())
+
+    by_ids = found()
+    monkeypatch.setattr(substring_dedup, "BROADCAST_TEXTS", -1)
+    by_join = found()
+    monkeypatch.setattr(substring_dedup, "_may_hold_passage", lambda *_: lambda batches: batches)
+    assert len(by_ids) == 45 and by_ids == by_join == found()
+    assert any(r[1] != "[]" for r in by_ids) and any(r[1] == "[]" for r in by_ids)
