@@ -17,7 +17,8 @@ of a token, at most seven in a 49k vocabulary.
 Words are split and normalised as the tokenizer file says.  Defined cases: a
 null text is empty and has no tokens; strings of special tokens in a text are
 special tokens; a word of any length is encoded whole, in time proportional to
-its length; further columns pass through untouched.
+its length; further columns pass through untouched, but a column named like a
+result is replaced by it.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmatch.llm.common import positional
+
 #: Marks a word's end inside a token's spelling; no byte symbol looks like it.
 END = "\n"
 #: Words whose encodings a worker keeps young, and as many old: when the young
@@ -251,11 +254,19 @@ def codec(spark, path: str):
 ROWS_AT_ONCE = 256
 
 
+def _renamed(coded: DataFrame, docs: DataFrame, results: list[str]) -> DataFrame:
+    """``coded`` under the names of ``docs`` and of the results, which take the place of columns named alike."""
+    stay = [n not in results for n in docs.columns]
+    kept = [c for c, s in zip(coded.columns, [*stay, *[True] * len(results)], strict=True) if s]
+    return coded.select(*kept).toDF(*[n for n in docs.columns if n not in results], *results)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` with the token ids of every whole text, and the decoded ids if named."""
     shared = codec(docs.sparkSession, path)
-    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))] + [T.StructField(decoded_col, T.StringType())] * bool(decoded_col)
-    at = docs.columns.index(text_col)
+    own, (text_name,) = positional(docs, text_col)
+    fields = [T.StructField("__ids", T.ArrayType(T.IntegerType(), False))] + [T.StructField("__decoded", T.StringType())] * bool(decoded_col)
+    at = own.columns.index(text_name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -269,13 +280,15 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                     columns.append(pa.array([own.automaton.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[str(k) for k in range(len(columns))])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    coded = own.mapInArrow(run, T.StructType([*own.schema.fields, *fields]))
+    return _renamed(coded, docs, [ids_col, *[decoded_col] * bool(decoded_col)])
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """``tokens`` with the text that the labels of its ids spell; null ids give an empty text."""
     shared = codec(tokens.sparkSession, path)
-    at = tokens.columns.index(ids_col)
+    own, (ids_name,) = positional(tokens, ids_col)
+    at = own.columns.index(ids_name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = shared.value.automaton
@@ -284,7 +297,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", decoded_col: str
             columns = [*batch.columns, pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[str(k) for k in range(len(columns))])
 
-    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(decoded_col, T.StringType())]))
+    return _renamed(own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("__decoded", T.StringType())])), tokens, [decoded_col])
 
 
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

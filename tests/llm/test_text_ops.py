@@ -47,6 +47,17 @@ def strings(rng, n):
         yield "".join(rng.choice(pool) for _ in range(rng.randrange(60)))
 
 
+def test_bpe_replaces_columns_named_like_results(spark):
+    path = word_bpe_path()
+    df = spark.createDataFrame([(1, "two words"), (2, None)], "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("n", F.lit(3)).withColumn("decoded", F.lit(0))
+    plain = bpe.encode(df, path)
+    assert plain.columns == ["doc_id", "text", "n", "decoded", "ids"] and {len(r.ids) for r in plain.collect()} == {2, 0}
+    both = bpe.encode(df, path, decoded_col="decoded")
+    assert both.columns == ["doc_id", "text", "n", "ids", "decoded"] and bpe.decode(both, path).columns == both.columns
+    assert [r.decoded for r in bpe.decode(both, path).orderBy("doc_id").collect()] == [r.decoded for r in both.orderBy("doc_id").collect()]
+    assert bpe.encode(df.limit(0), path).collect() == []
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(word_bpe_path())
