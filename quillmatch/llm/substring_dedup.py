@@ -237,8 +237,8 @@ def _may_hold_passage(min_span: int, min_words: int):
     return run
 
 
-#: Texts with runs of repeated chunks whose ids are broadcast at most, 16 bytes each.
-BROADCAST_TEXTS = 2_000_000
+#: Texts with long runs of repeated chunks whose ids are broadcast at most, about 120 bytes each in memory.
+BROADCAST_TEXTS = 500_000
 #: Rows whose spans a worker holds as objects at once.
 ROWS_AT_ONCE = 256
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
