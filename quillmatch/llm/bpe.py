@@ -48,6 +48,8 @@ _LETTERS = "a-zA-Z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
 _NUMBERS = "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\t-\\r \\x85\\xa0{_LETTERS}{_NUMBERS}]+")
 _BEYOND_LATIN = re.compile("[^\\x00-\\u024f]")
+#: Texts with these are normalised by the library: characters beyond the letters above, and those whose small letters are beyond them.
+_NEEDS_LIBRARY = re.compile("[\\u0250-\\U0010ffff" + "".join(chr(c) for c in range(0x80, 0x250) if max(chr(c).lower()) > "\u024f") + "]")
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 
@@ -142,22 +144,21 @@ class Automaton:
         """Ids of one word given as byte symbols: the labels of its only path.
 
         A prefix of the word has one path too, so a position is reached by one
-        arc at most and is entered once, longest labels first.
+        arc at most and is entered once.  The longest label is followed at once;
+        the others of a position are tried only where it leads nowhere.
         """
         spelled, n = word + END, len(word) + 1
-        ids, gaps, parts, target, longest = self.ids, self.gaps, self.parts, self.target, self.reach
-        came: dict[int, tuple[int, int]] = {}
-        todo = [(0, 0)]
-        while todo:
-            i, state = todo.pop()
-            if i == n:
-                break
-            todo_here, gap = [], gaps[state]
-            for length in longest.get(spelled[i : i + 3], (2, 1)):
+        known, gaps, parts, target, longest = self.ids.get, self.gaps, self.parts, self.target, self.reach.get
+        entered: set[int] = set()
+        path: list[int] = []
+        behind: list[tuple] = []  # of the positions on the path: what is left to try there
+        i, gap, lengths = 0, gaps[0], iter(longest(spelled[:3], (2, 1)))
+        while True:
+            for length in lengths:
                 j = i + length
-                if j > n or j in came:
+                if j > n or j in entered:
                     continue
-                token = ids.get(spelled[i:j])
+                token = known(spelled[i:j])
                 if token is None or token in gap:
                     continue
                 part = parts[token]  # the test of ``arc``, in place
@@ -166,18 +167,16 @@ class Automaton:
                     if gap.get(left, before) < before:
                         break
                 else:
-                    came[j] = (i, token)
-                    todo_here.append((j, target[token]))
+                    path.append(token)
                     if j == n:
-                        break
-            todo += reversed(todo_here)
-            if n in came:
-                break
-        path, at = [], n
-        while at:
-            at, token = came[at]
-            path.append(token)
-        return path[::-1]
+                        return path
+                    entered.add(j)
+                    behind.append((i, gap, lengths))
+                    i, gap, lengths = j, gaps[target[token]], iter(longest(spelled[j : j + 3], (2, 1)))
+                    break
+            else:
+                path.pop()
+                i, gap, lengths = behind.pop()
 
     def encode_word(self, word: str) -> bytes:
         """The ids of a word, as packed 32-bit numbers."""
@@ -210,6 +209,9 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.automaton = Automaton(model["vocab"], model["merges"], model["end_of_word_suffix"], self.special)
         self.normalizer = json.dumps(config | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []})
+        steps = config["normalizer"].get("normalizers", [config["normalizer"]])
+        #: Whether texts of characters up to U+024F, which are all composed, are only put into small letters.
+        self.lowers = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": "\\s+"} and steps[1]["content"] == " "
         self.splits = [p for p in config["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self._normalize = self._split = None
 
@@ -217,6 +219,8 @@ class Codec:
         return self.__dict__ | {"_normalize": None, "_split": None}
 
     def _words(self, text: str) -> list[str]:
+        if self.lowers and not _NEEDS_LIBRARY.search(text):
+            return _WORDS.findall(text.lower())
         if self._normalize is None:
             from tokenizers import Regex, Tokenizer, pre_tokenizers
 

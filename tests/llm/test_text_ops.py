@@ -58,6 +58,36 @@ def test_bpe_replaces_columns_named_like_results(spark):
     assert bpe.encode(df.limit(0), path).collect() == []
 
 
+def test_bpe_follows_the_longest_label_first():
+    import tokenizers
+
+    automaton = bpe.Codec(word_bpe_path()).automaton
+    asked = []
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return dict.get(self, key, default)
+
+    automaton.ids = Counted(automaton.ids)
+    words = ["internationalization", "counterproductively", "the", "xqzvkjw", "a" * 40, "understandings", "0", "...!!"]
+    library = tokenizers.Tokenizer.from_file(word_bpe_path())
+    for word in words:
+        assert automaton.encode_symbols(word) == library.encode(word, add_special_tokens=False).ids
+    assert len(asked) <= 100  # 138 where all lengths of a position are tried
+
+
+def test_bpe_of_every_latin_character():
+    import tokenizers
+
+    library, codec = tokenizers.Tokenizer.from_file(word_bpe_path()), bpe.Codec(word_bpe_path())
+    assert codec.lowers
+    texts = [f"Ab{chr(c)}Cd {chr(c)} {chr(c)}'S 1{chr(c)}\u00c9" for c in [*range(1, 0x260), 0x301, 0x345, 0x3A3, 0x1E9E, 0x212B]]
+    texts += ["e\u0301 \u0130\u00c4", "A\u030a\u0178", "\u01c5\u0149\u00df\u023a"]
+    for text in texts:
+        assert codec.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(word_bpe_path())
