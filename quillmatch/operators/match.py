@@ -1,11 +1,13 @@
 """Matching of patterns against texts, and resolution of overlaps.
 
 A text is tokenised once into an array.  Long ones are cut into windows, each
-with the tokens that a match begun in it can reach.  Positions whose word
-begins a pattern leave a window as small rows that hold only the tokens of the
+with the tokens that a match begun in it can reach.  Positions whose words
+begin a pattern leave a window as small rows that hold only the tokens of the
 longest pattern's span, never the text.  They meet the pattern table by an
-equi-join on the first word; the catalogue's size is checked, and up to
-``BROADCAST_WORDS`` words it is broadcast, so no text and no token is shuffled.
+equi-join on the words before a pattern's first wildcard, ``LEAD_WORDS`` of them
+at most, so that a common first word does not meet all its patterns; the
+catalogue's size is checked, and up to ``BROADCAST_WORDS`` words it is broadcast,
+so no text and no token is shuffled.
 The rest of a pattern is followed inside the row: a set of ends grows piece by
 piece, so each end is kept once however many ways lead to it.  Only matches are
 shuffled, by document, to resolve overlaps.
@@ -13,6 +15,8 @@ shuffled, by document, to resolve overlaps.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +25,11 @@ from quillmatch.functions.patterns import Pattern, collapsed
 from quillmatch.functions.text import CHUNK_BYTES, tokens
 
 PIECE = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("least", T.IntegerType()), T.StructField("most", T.IntegerType())])
-PATTERNS = T.StructType([T.StructField("pattern_id", T.LongType()), T.StructField("first", T.StringType()), T.StructField("pieces", T.ArrayType(PIECE))])
-#: First words up to this many are tested in the scan itself.
-FIRST_WORDS_IN_SCAN = 20_000
+PATTERNS = T.StructType([T.StructField("pattern_id", T.LongType()), T.StructField("lead", T.StringType()), T.StructField("pieces", T.ArrayType(PIECE))])
+#: Words of a pattern's beginning that are joined on.
+LEAD_WORDS = 4
+#: Up to this many words are compared in the scan itself; more are looked up by checksum in a table of so many bytes at most.
+WORDS_IN_SCAN, SLOTS = 200, 1 << 22
 #: Words of all patterns together that are broadcast; beyond that the join is a shuffled one.
 BROADCAST_WORDS = 2_000_000
 #: Tokens of a text in which one row looks for beginnings.
@@ -56,13 +62,29 @@ class PatternSet:
         return max((p.span for p in self.patterns), default=0)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """Rows (pattern_id, first, pieces), marked for broadcast if they are few enough."""
-        rows = [(p.pattern_id, p.pieces[0].words[0], [(list(x.words), x.least, x.most) for x in p.pieces]) for p in self.active]
+        """Rows (pattern_id, lead, pieces), marked for broadcast if they are few enough."""
+        rows = [(p.pattern_id, " ".join(p.pieces[0].words[:LEAD_WORDS]), [(list(x.words), x.least, x.most) for x in p.pieces]) for p in self.active]
         table = spark.createDataFrame(rows, PATTERNS)
         return F.broadcast(table) if sum(len(p.tokens) for p in self.active) <= BROADCAST_WORDS else table
 
-    def first_words(self) -> list[str]:
-        return sorted({p.pieces[0].words[0] for p in self.active})
+    def leads(self) -> dict[int, list[tuple[str, ...]]]:
+        """The different beginnings of the patterns, by their number of words."""
+        found: dict[int, set] = {}
+        for p in self.active:
+            lead = p.pieces[0].words[:LEAD_WORDS]
+            found.setdefault(len(lead), set()).add(lead)
+        return {n: sorted(found[n]) for n in sorted(found)}
+
+
+def _among(value: Column, known: list[str]) -> Column:
+    """False only for values that are not known; beyond ``WORDS_IN_SCAN`` a checksum's slot decides, and the join after it."""
+    if len(known) <= WORDS_IN_SCAN:
+        return value.isin(*known) if known else F.lit(False)
+    slots = bytearray(min(SLOTS, 1 << (64 * len(known)).bit_length()))
+    for x in known:
+        slots[zlib.crc32(x.encode()) % len(slots)] = 1
+    at = (F.crc32(F.encode(value, "UTF-8")) % len(slots) + 1).cast("int")
+    return F.substring(F.lit(bytes(slots)), at, F.lit(1)) == F.lit(b"\1")
 
 
 def _ends(toks: Column, start: Column, pieces: Column) -> Column:
@@ -90,7 +112,7 @@ def raw_matches(docs: DataFrame, patterns: PatternSet, text: Column, *keep: str,
     spark = docs.sparkSession
     names = [f"`{k}`" for k in keep]
     tokenised = docs.select(*names, tokens(text, mode, chunk_bytes).alias("t")).select(*names, F.col("t.line").alias("__lines"), F.col("t.token").alias("__toks"))
-    firsts, span = patterns.first_words(), max(1, patterns.longest_span)
+    leads, span = patterns.leads(), max(1, patterns.longest_span)
     begins = F.sequence(F.lit(0), F.size("__toks") - 1, F.lit(WINDOW_TOKENS))
     # sequence(0, -1) would count down.
     begins = F.when(F.size("__toks") > 0, begins).otherwise(F.array().cast("array<int>"))
@@ -101,11 +123,20 @@ def raw_matches(docs: DataFrame, patterns: PatternSet, text: Column, *keep: str,
     cut = F.transform(begins, lambda b: F.struct(b.alias("__begin"), *part(b, WINDOW_TOKENS + span)))
     windows = tokenised.select(*names, F.explode(cut).alias("w")).select(*names, "w.*")
     places = F.sequence(F.lit(0), F.least(F.size("__toks"), F.lit(WINDOW_TOKENS)) - 1)
-    if len(firsts) <= FIRST_WORDS_IN_SCAN:
-        places = F.filter(places, lambda i: F.element_at(F.col("__toks"), i + 1).isin(*firsts) if firsts else F.lit(False))
-    found = F.transform(places, lambda i: F.struct((F.col("__begin") + i).alias("start"), F.element_at("__toks", i + 1).alias("first"), *part(i, span)))
-    hits = windows.select(*names, F.explode(found).alias("h")).select(*names, "h.*")
-    met = hits.join(patterns.table(spark), "first")
+
+    def lead_at(i: Column, n: int) -> Column:
+        # Fewer words where the text ends, which no beginning of n words equals.
+        return F.concat_ws(" ", *(F.get(F.col("__toks"), i + k) for k in range(n)))
+
+    def begun(n: int, known: list[tuple[str, ...]]) -> Column:
+        at = F.filter(places, lambda i: _among(F.get(F.col("__toks"), i), sorted({x[0] for x in known})))
+        if n > 1:
+            at = F.filter(at, lambda i: _among(lead_at(i, n), [" ".join(x) for x in known]))
+        return F.transform(at, lambda i: F.struct((F.col("__begin") + i).alias("start"), lead_at(i, n).alias("lead"), *part(i, span)))
+
+    found = [begun(n, known) for n, known in leads.items()] or [begun(1, [])]
+    hits = windows.select(*names, F.explode(F.concat(*found)).alias("h")).select(*names, "h.*")
+    met = hits.join(patterns.table(spark), "lead")
     ended = met.select(*names, "pattern_id", "start", "__lines", F.explode(_ends(F.col("__toks"), F.lit(0), F.col("pieces"))).alias("matched"))
     return ended.select(
         *names,

@@ -141,3 +141,15 @@ def test_segments_collapse_before_tombstones():
     assert [p.pattern_id for p in match.PatternSet([one]).active] == [2]
     assert match.PatternSet([one], frozenset({2})).active == []
     assert len(match.PatternSet([one[:1], one[1:]]).active) == 2
+
+
+def test_common_first_words_do_not_meet_all_their_patterns(spark):
+    """Thousands of patterns with one first word: a position meets those that go on like the text."""
+    patterns = [Pattern.of(i + 1, ["the", f"w{i // 50}", f"v{i}", 2, "end"]) for i in range(3000)] + [Pattern.of(4000, ["the", "end"]), Pattern.of(4001, ["the"])]
+    text = "the w3 v151 x y end the w3 v9 end the w59 v2999 x end the"
+    docs = spark.createDataFrame([(1, text), (2, "the end the w3"), (3, ""), (4, None)], "doc_id int, text string")
+    active = match.PatternSet([patterns])
+    expected = [(1, 0, 6, 152), (1, 10, 5, 3000), (2, 0, 2, 4000), *((1, s, 1, 4001) for s in (0, 6, 10, 15)), (2, 0, 1, 4001), (2, 2, 1, 4001)]
+    assert sorted((r.doc_id, r.start, r.matched, r.pattern_id) for r in match.raw_matches(docs, active, F.col("text"), "doc_id").collect()) == sorted(expected)
+    table = active.table(spark)
+    assert max(r["count"] for r in table.groupBy(next(c for c in table.columns if c not in ("pattern_id", "pieces"))).count().collect()) == 1
