@@ -9,6 +9,9 @@ line (or chunk); in strings it ends the text.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +67,34 @@ def tokens(text: Column, mode: str = "string", chunk_bytes: int | None = None) -
     return F.flatten(F.transform(F.split(whole, "\n"), of_line))
 
 
+#: Blanks for separators and all bytes but printable ASCII, small letters; line feeds stay.
+_PLAIN = bytes(c if c == 10 else 32 if not 33 <= c <= 127 or re.fullmatch(SEPARATORS, chr(c)) else ord(chr(c).lower()) for c in range(256))
+#: Different words whose form is remembered.
+KNOWN_WORDS = 200_000
+
+
+class Words(dict):
+    """Kept forms of words as bytes, empty for those that are dropped: the rules of ``tokens`` inside an Arrow worker."""
+
+    def __missing__(self, raw: bytes) -> bytes:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        bare = (raw[:-1] if raw.endswith(b".") else raw).lstrip(b"+-/")
+        self[raw] = bare if re.search(b"[a-z0-9]", bare) and bare.decode() not in STOP_WORDS else b""
+        return self[raw]
+
+    def of_file(self, text: bytes) -> tuple[list[bytes], np.ndarray]:
+        """The words of a UTF-8 text in mode "file", lines whole, and the line of each."""
+        if b"\0" in text:
+            text = b"\n".join(line.partition(b"\0")[0] for line in text.split(b"\n"))
+        found, counts = [], []
+        for line in text.translate(_PLAIN).split(b"\n"):
+            kept = [t for t in map(self.__getitem__, line.split()) if t]
+            found += kept
+            counts.append(len(kept))
+        return found, np.repeat(np.arange(1, len(counts) + 1), counts)
+
+
 def pattern_tokens(text: Column) -> Column:
     """Words of a whole string as one buffer, as patterns are read."""
     return words(until_nul(text))

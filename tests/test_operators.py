@@ -1,5 +1,6 @@
 """Lines, tf-idf, distance, fingerprints and content hashes."""
 
+import hashlib
 import math
 import random
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions.patterns import words
 from quillmatch.functions.spooky import hash64_of_tokens
+from quillmatch.functions.text import tokens
 from quillmatch.operators import bag, distance, fingerprint, lines
 
 
@@ -103,6 +105,23 @@ def test_fingerprints_of_rows(spark):
     assert all(r[2] == r[0] // 2 + 1 and r[3] == (r[0] + 2) // 2 + 1 for r in by[1])
 
 
+def test_winnow_rows_of_texts_where_they_are_read(spark):
+    """Against plain loops over the column expressions' words, without a shuffle."""
+    rng = random.Random(6)
+    parts = ["The", "a", "x.", "-y", "b+c", "++", "é", "\u4e16w", "Rem", "\t", "\0", "z\x7f", "..", "(v)", "\n", "'"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(30)] + ["", None, "same word " * 30, "\n\na.b\r\n" * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = fingerprint.winnow_rows(docs, F.col("text"), "doc_id", 3, 4)
+    expected = set()
+    for r in docs.select("doc_id", tokens(F.col("text"), "file").alias("t")).collect():
+        toks = r.t or []
+        grams = [hashlib.md5(" ".join(t.token for t in toks[i : i + 3]).encode()).hexdigest() for i in range(len(toks) - 2)]
+        expected |= {(r.doc_id, p, grams[p], toks[p].line, toks[p + 2].line) for p in plain_winnow(grams, 4)}
+    assert sorted(map(tuple, found.collect())) == sorted(expected) and len(expected) > 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+
+
 def test_content_hash(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 500)], "doc_id int, text string")
     got = {r.doc_id: r.content_hash for r in fingerprint.content_hash(docs, F.col("text"), "doc_id").collect()}
