@@ -39,6 +39,8 @@ PATTERNS = [
 LATER = [(14, "apache license"), (4, "rights reserved"), (15, "version $SKIP2 0"), (16, "est $SKIP9 pour")]
 TOMBSTONES = frozenset({6, 9, 12})
 K, W = 5, 8
+#: Fingerprints of benchmark items that are broadcast.
+BROADCAST_PRINTS = 500_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -299,9 +301,11 @@ def segment_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items whose fingerprints a document holds."""
     items = fingerprint.winnow_rows(_table(spark, sf_dir, "benchmark"), F.col("text"), "item_id", K, W).select("item_id", "fp").distinct()
-    docs = fingerprint.winnow_rows(_docs(spark, sf_dir), F.col("text"), "doc_id", K, W).select("doc_id", "fp").distinct()
+    docs = fingerprint.winnow_rows(_docs(spark, sf_dir), F.col("text"), "doc_id", K, W).select("doc_id", "fp")
     sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("size"))
-    shared = docs.join(items, "fp").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    # Few fingerprints go to the documents, so that only those met are shuffled; else each is joined once.
+    met = docs.join(F.broadcast(items), "fp") if items.count() <= BROADCAST_PRINTS else docs.distinct().join(items, "fp")
+    shared = met.distinct().groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
     return shared.join(sizes, "item_id").filter(F.col("shared") * 2 >= F.col("size")).select("item_id", "doc_id", "shared", "size")
 
 

@@ -84,3 +84,18 @@ def test_queries_without_sql_against_plain_loops(spark, texts):
             expected.add((i, pos, grams[pos], found[pos][0], found[pos + catalog.K - 1][0]))
     got = {(r.doc_id, r.pos, r.fp % 2**64, r.start_line, r.end_line) for r in catalog.winnow_spooky(spark, DATA).collect() if len(texts[r.doc_id]) <= 3000}
     assert got == expected and len(got) > 100
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables are not here")
+@pytest.mark.parametrize("few", [True, False])
+def test_documents_prints_are_not_shuffled_to_meet_few_items(spark, few, monkeypatch):
+    if not few:
+        monkeypatch.setattr(catalog, "BROADCAST_PRINTS", 0)
+    df = catalog.containment_pairs(spark, DATA)
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    expected = con.execute(f"SELECT item_id, doc_id, shared, size FROM ({catalog.ORACLE_SQL['containment_pairs']})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(expected)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert ("rightHint=(strategy=broadcast)" in plan) == few
